@@ -60,3 +60,30 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_url_filter, op4_chat_format, op5_mix, op6_quality, op10_pii_surrogates)}
 ORACLE: dict[str, str] = {}
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectorloom.llm.bpe import encode
+
+    out = encode(table(spark, sf_dir, "documents"), decode=True, packed=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectorloom.llm.suffix import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op3_bpe, op7_repeated_passages)}
+
+
+def op8_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the whole text of every document whose id is divisible by 20, against all documents."""
+    from vectorloom.llm.bm25 import search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text"))
+
+
+QUERIES[op8_bm25_topk.__name__] = op8_bm25_topk
