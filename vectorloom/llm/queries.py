@@ -87,3 +87,12 @@ def op8_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES[op8_bm25_topk.__name__] = op8_bm25_topk
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectorloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES[op9_toxicity.__name__] = op9_toxicity
