@@ -94,9 +94,7 @@ def measures(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     df = docs.select(*(c.alias(k) for k, c in carry.items()), F.col("text").alias("__text"))
-    out = df.drop("__text").schema
-    for m in MEASURES:
-        out = out.add(m, T.LongType())
+    out = T.StructType([*df.drop("__text").schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
     return df.mapInArrow(_measured(list(carry), to_arrow_schema(out)), out)
 
 
@@ -176,9 +174,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: fl
     text = names[[c.lower() for c in docs.columns].index("text")]
     lang = names[[c.lower() for c in docs.columns].index("lang")]
     own = docs.toDF(*names)
-    schema = own.schema
-    for m in MEASURES:
-        schema = schema.add(m, T.LongType())
+    schema = T.StructType([*own.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema = to_arrow_schema(schema)) -> Iterator[pa.RecordBatch]:
         for batch in batches:
