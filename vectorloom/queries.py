@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from vectorloom.plans import vector_queries
+from vectorloom.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+flagship = vector_queries.flagship
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLE", "QUERIES", "flagship"]
