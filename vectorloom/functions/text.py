@@ -37,17 +37,23 @@ def bucket(word: Column, size: int) -> Column:
     return out.cast("int")
 
 
-def hash_embedding(docs: DataFrame, dimensions: int = 64, text: str = "text") -> DataFrame:
-    """Adds embedding: counts of tokens by bucket; places 0 to 3 hold the numbers of words, of a few function words, of
-    question marks and of full stops; unit length.  One expression per row: nothing is exploded or shuffled."""
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    own = docs.withColumn("__b", F.transform(tokens(lower), lambda w: bucket(w, dimensions)))
-    counts = F.aggregate("__b", F.array_repeat(F.lit(0.0), dimensions), lambda s, b: F.concat(F.slice(s, 1, b), F.array(F.element_at(s, b + 1) + 1.0), F.slice(s, b + 2, F.greatest(F.lit(dimensions) - b - 1, F.lit(0)))))
-    words = reduce(lambda a, b: a + b, (count_of(lower, w) for w in ("the", "and", "is")))
-    head = F.array(F.size("__b").cast("double"), words.cast("double"), count_of(lower, "?").cast("double"), count_of(lower, ".").cast("double"))
-    raw = own.withColumn("__raw", F.concat(head, F.slice(counts, 5, dimensions - 4)))
-    length = F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda s, x: s + x * x))
-    return raw.withColumn("embedding", F.when(length > 0, F.transform("__raw", lambda x: x / length)).otherwise(F.col("__raw"))).drop("__b", "__raw")
+def hash_embedding(docs: DataFrame, dimensions: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs(key, text, ...) to (key, embedding), a row for each key: counts of tokens by bucket; places 0 to 3 hold the
+    numbers of words, of a few function words, of question marks and of full stops; unit length.  Tokens are counted where
+    they are, so a row per key, bucket and task is shuffled."""
+    own = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    words = reduce(lambda a, b: a + b, (count_of(F.col("__t"), w) for w in ("the", "and", "is")))
+    # a step of its own: what stands beside explode would be computed again for each token
+    own = own.select(key, words.alias("__1"), count_of(F.col("__t"), "?").alias("__2"), count_of(F.col("__t"), ".").alias("__3"), tokens(F.col("__t")).alias("__ts"))
+    own = own.select(key, "__1", "__2", "__3", F.explode_outer("__ts").alias("__w"))
+    own = own.withColumn("__b", F.when(F.col("__w").isNotNull(), bucket(F.col("__w"), dimensions)))
+    counts = own.groupBy(key, "__b").agg(F.count("__w").cast("double").alias("__n"), *(F.any_value(f"__{k}").cast("double").alias(f"__{k}") for k in (1, 2, 3)))
+    held = F.map_from_entries(F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__n"))))
+    counts = counts.groupBy(key).agg(held.alias("__m"), F.sum("__n").alias("__0"), *(F.any_value(f"__{k}").alias(f"__{k}") for k in (1, 2, 3)))
+    tail = F.transform(F.sequence(F.lit(4), F.lit(dimensions - 1)), lambda k: F.coalesce(F.try_element_at("__m", k), F.lit(0.0)))
+    raw = counts.select(key, F.concat(F.array("__0", "__1", "__2", "__3"), tail).alias("__raw"))
+    raw = raw.withColumn("__n", F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda s, x: s + x * x)))
+    return raw.select(key, F.when(F.col("__n") > 0, F.transform("__raw", lambda x: x / F.col("__n"))).otherwise(F.col("__raw")).alias("embedding"))
 
 
 def hits(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -92,7 +98,12 @@ def red_flags(text: Column) -> Column:
 def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cut: int = 100) -> DataFrame:
     """(key, severity, rule, line, match): all matches with their line numbers, cut at 100 characters."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "content"))
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("content", F.lit(f"({regex})"), 1), lambda m, s=severity, r=rule: F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"), F.substring(m, 1, cut).alias("match"))) for severity, rules in SECRETS.items() for rule, regex in rules.items())))
+
+    def matches(severity: str, rule: str, regex: str) -> Column:
+        every = F.regexp_extract_all("content", F.lit(f"({regex})"), 1)
+        return F.transform(every, lambda m: F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.substring(m, 1, cut).alias("match")))
+
+    found = F.flatten(F.array(*(matches(s, r, x) for s, rules in SECRETS.items() for r, x in rules.items())))
     hint = reduce(lambda a, b: a | b, (F.col("content").rlike(r) for rules in SECRETS.values() for r in rules.values()))
     return lines.where(hint).select(key, (F.col("line") + 1).alias("line"), F.explode(found).alias("f")).select(key, "line", "f.severity", "f.rule", "f.match")
 

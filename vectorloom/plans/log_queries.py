@@ -15,7 +15,7 @@ LOG = "WITH l AS (SELECT event_id, ts, user_id, event_type, value, props, 'node-
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.withColumn("node", F.concat(F.lit("node-"), (F.col("user_id") % 8).cast("string"))).withColumn("failed", F.col("event_type") == "error")
 
 
@@ -124,10 +124,11 @@ def scale_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- windows
 
 
-@query("running_avg", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS mean FROM events")
+@query("running_avg", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-10, 6) AS mean FROM events")
 def running_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of values with two decimals end in a 5 often; a small shift makes both engines round those up."""
     own = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", r(F.avg("value").over(own), "mean"))
+    return table(spark, sf_dir, "events").select("event_id", r(F.avg("value").over(own) + 1e-10, "mean"))
 
 
 @query("ema_latency", "WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (SELECT user_id, k, value AS ema FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, 0.9::DOUBLE * f.ema + 0.1::DOUBLE * o.value FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) SELECT user_id, round(arg_max(ema, k), 6) AS ema FROM f GROUP BY 1")
@@ -144,16 +145,16 @@ def last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).drop("ts")
 
 
-@query("cumulative_savings", "WITH d AS (SELECT date_trunc('day', ts)::DATE AS day, sum(value) * 0.3::DOUBLE AS saved FROM events GROUP BY 1) SELECT day, round(saved, 4) AS saved, round(sum(saved) OVER (ORDER BY day), 4) AS total FROM d")
+@query("cumulative_savings", "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(value) * 0.3::DOUBLE AS saved FROM events GROUP BY 1) SELECT day, round(saved, 4) AS saved, round(sum(saved) OVER (ORDER BY day), 4) AS total FROM d")
 def cumulative_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg((F.sum("value") * 0.3).alias("saved"))
+    days = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.sum("value") * 0.3).alias("saved"))
     return days.select("day", F.round("saved", 4).alias("saved"), F.round(F.sum("saved").over(Window.orderBy("day")), 4).alias("total"))
 
 
 @query("windowed_metrics", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def windowed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch twin of the stream."""
-    return metrics.windowed_metrics(table(spark, sf_dir, "events")).select("start", "event_type", "n", r(F.col("mean"), "mean"))
+    return metrics.windowed_metrics(log(spark, sf_dir)).select("start", "event_type", "n", r(F.col("mean"), "mean"))
 
 
 @query("streamed_metrics")
@@ -164,8 +165,8 @@ def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectorloom.plans.scratch import shared_dir
 
     at = f"{shared_dir(spark)}/vectorloom/stream-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "events").write.parquet(f"{at}/in")
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{at}/in")
+    log(spark, sf_dir).write.parquet(f"{at}/in")
+    events = spark.readStream.schema(log(spark, sf_dir).schema).parquet(f"{at}/in")
     run = metrics.windowed_metrics(events).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
     run.awaitTermination()
     return spark.read.schema("start timestamp, end timestamp, event_type string, n bigint, mean double, least double, most double").parquet(f"{at}/out")
@@ -285,9 +286,9 @@ def tags_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where(F.col("tags")["tier"] == "1").groupBy(F.col("tags")["kind"].alias("event_type")).agg(F.count("*").alias("n"))
 
 
-@query("cost_roi", "WITH d AS (SELECT date_trunc('day', ts)::DATE AS day, sum(value) AS cost FROM events GROUP BY 1) SELECT day, round(cost * 0.7::DOUBLE, 4) AS savings, round((cost * 0.7::DOUBLE * 12 - 1000) / 1000 * 100, 3) AS roi_percent, round(1000 / (cost * 0.7::DOUBLE), 6) AS payback_months FROM d")
+@query("cost_roi", "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(value) AS cost FROM events GROUP BY 1) SELECT day, round(cost * 0.7::DOUBLE, 4) AS savings, round((cost * 0.7::DOUBLE * 12 - 1000) / 1000 * 100, 3) AS roi_percent, round(1000 / (cost * 0.7::DOUBLE), 6) AS payback_months FROM d")
 def cost_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("cost"))
+    days = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("value").alias("cost"))
     savings = F.col("cost") * 0.7
     return days.select("day", F.round(savings, 4).alias("savings"), F.round((savings * 12 - 1000) / 1000 * 100, 3).alias("roi_percent"), r(1000 / savings, "payback_months"))
 

@@ -37,7 +37,7 @@ EMBED = (
 
 @query("doc_embed_hash", EMBED + " SELECT doc_id, (b + 1)::INT AS dim, round(coalesce(x, 0), 6) AS value FROM x WHERE coalesce(x, 0) <> 0")
 def doc_embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = X.hash_embedding(docs(spark, sf_dir).select("doc_id", "text"), 64)
+    own = X.hash_embedding(docs(spark, sf_dir), 64)
     out = own.select("doc_id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0")
     return out.select("doc_id", (F.col("dim") + 1).alias("dim"), F.round("x", 6).alias("value"))
 
@@ -57,12 +57,13 @@ FOUND = EMBED + ", s AS (SELECT a.doc_id, sum(a.x * q.x) AS score FROM x a JOIN
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five English documents most like document 0."""
-    own = X.hash_embedding(docs(spark, sf_dir).select("doc_id", "text", "lang"), 64)
-    q = search.one_vector(own, 0, "doc_id")
-    rows = search.with_query(own.where("lang = 'en'"), q).withColumn("score", V.dot(F.col("embedding"), F.col("q")))
     from pyspark.sql import Window
 
-    best = rows.select("doc_id", "text", "score").orderBy(F.desc(F.round("score", 9)), "doc_id").limit(5)
+    d = docs(spark, sf_dir)
+    q = search.one_vector(X.hash_embedding(d.where("doc_id = 0"), 64), 0, "doc_id")
+    rows = search.with_query(X.hash_embedding(d.where("lang = 'en'"), 64), q).withColumn("score", V.dot(F.col("embedding"), F.col("q")))
+    best = rows.select("doc_id", "score").orderBy(F.desc(F.round("score", 9)), "doc_id").limit(5)
+    best = d.select("doc_id", "text").join(F.broadcast(best), "doc_id")
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")))
 
 
