@@ -163,12 +163,12 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of docs that are kept, with docs' columns: the text is read twice rather than shuffled."""
+    """The rows of docs that are kept, with docs' columns: texts are measured twice, once to certify cutoffs from the small
+    table of measures and once to filter where they are, rather than shuffled."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     marked = labels.select(F.col("doc_id").alias("doc_id"), (F.col("quality") == 1).alias("good"))
-    train = docs.join(marked, "doc_id", "left_semi")
-    found = measures(train, {"doc_id": F.col("doc_id"), "stratum": F.col("lang")})
+    found = measures(docs, {"doc_id": F.col("doc_id"), "stratum": F.col("lang")})
     cutoffs = certify(found.where(~base_failed()).join(marked, "doc_id"), alpha, delta)
     names = [f"__{k}" for k in range(len(docs.columns))]
     text = names[[c.lower() for c in docs.columns].index("text")]
