@@ -6,10 +6,11 @@ letters in a row may be one word.  Viterbi finds the letters that a character tr
 best.  The model is counted over the words of all documents, in one pass whose result is bounded by the alphabet cubed, and
 over the words that mark toxic documents, so decoding leans to those where the corpus leaves a choice.
 
-Score: the words that mark toxic documents are found from labelled rows: the share of toxic and of other documents that have
-them, a one-sided bound on their log odds, and at most LEXICON words, best first.  A document's evidence is the sum of their
-weights over the distinct marked words of its restored text.  A logistic curve, fitted on evidence of at most FIT labelled
-rows (least crc32 first), turns it into a score.  Only rows whose crc32(doc_id as text) mod 5 is not 0 lend their labels.
+Score: the words that mark toxic documents are found from at most FIT labelled rows (least crc32 first), few enough to be
+broadcast, so that no text moves: the share of toxic and of other documents that have a word, a one-sided bound on its log
+odds, and at most LEXICON words, best first.  A document's evidence is the sum of their weights over the distinct marked
+words of its restored text.  A logistic curve, fitted on the evidence of those same rows, turns it into a score.  Only rows
+whose crc32(doc_id as text) mod 5 is not 0 lend their labels.
 
 Defined results: null and empty texts have no evidence and score as such; without labelled rows of both kinds every score is
 the share of toxic labels, or 0 without any; repeated labels of a document each count; rows repeat as given; a null doc_id is
@@ -241,7 +242,7 @@ def _evidence(sent):
                     at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
                     hit = hashes[at] == words
                     pair = np.unique(of[hit] * len(hashes) + at[hit])
-                    found = np.bincount(pair // len(hashes), weights[pair % len(hashes)], texts.n)
+                    found = np.bincount(pair // len(hashes), weights[pair % len(hashes)], texts.n).astype(float)  # integers if empty
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(found)], names=["doc_id", "evidence"])
 
     return run
@@ -265,6 +266,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("long").alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    marks = F.broadcast(cut(marks.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id", "toxic").limit(FIT)))
     words = learn_words(docs.join(marks, "doc_id").select("text", "toxic"))
     counts = np.zeros(SYMBOLS**3, np.int64)
     if words:
@@ -273,7 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = sorted((h % 2**64, w) for _, h, w in words)
     sent = spark.sparkContext.broadcast((np.array([h for h, _ in order], np.uint64), np.array([w for _, w in order]), Model(counts, [w for w, _, _ in words]).log))
     found = cut(docs.mapInArrow(_evidence(sent), struct(doc_id="bigint", evidence="double")))
-    fit = found.join(marks, "doc_id").orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(FIT).select("evidence", "toxic").toArrow()
+    fit = found.join(marks, "doc_id").select("evidence", "toxic").orderBy("evidence", "toxic").toArrow()
     x, y = fit.column("evidence").to_numpy(), fit.column("toxic").to_numpy().astype(float)
     a, b = fit_curve(x, y) if len(np.unique(y)) == 2 else (0.0, np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)) if len(y) else -30.0)
     score = 1 / (1 + F.exp(-(F.lit(float(a)) * F.col("evidence") + F.lit(float(b)))))
