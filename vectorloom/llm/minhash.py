@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> Dat
     named = found.join(own.select("node", "least"), "node")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     whole = own.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+    whole = cut(whole)  # so that the join below stands between plain exchanges, and AQE can split a set with many copies
     out = signed.select("doc_id", "n_shingles", "node").join(whole, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
