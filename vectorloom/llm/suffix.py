@@ -191,7 +191,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
         raise ValueError(f"passages under {GRAM + WINDOW - 1} words need not meet a kept suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     anchors = cut(docs.mapInArrow(_anchors, struct(gram="bigint", doc_id="bigint", pos="int")))
-    known = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    known = cut(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # AQE can split the join
     places = anchors.join(known, "gram").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     asked = docs.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.doc_id", "text", "places")
     rows = asked.mapInArrow(_contexts, struct(**ROW))
