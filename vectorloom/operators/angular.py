@@ -53,7 +53,7 @@ def potential(df: DataFrame, key: str = "vec_id") -> DataFrame:
     """One row: potential = 1 - mean angle step / pi, in [0, 1]; 0 for under two rows."""
     steps = with_previous(sort(df, key), {"theta": "before"}).where("before is not null")
     mean = F.avg(F.abs(F.col("theta") - F.col("before")))
-    return steps.agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean / pi)), F.lit(0.0)).alias("potential"))
+    return steps.agg(F.when(F.count("*") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean / pi))).otherwise(0.0).alias("potential"))
 
 
 def relevant_regions(df: DataFrame, theta: Column, radius: Column, k: int, key: str = "vec_id") -> DataFrame:

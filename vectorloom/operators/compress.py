@@ -130,7 +130,7 @@ def moments(df: DataFrame, vector: str = "embedding") -> DataFrame:
 def estimated_ratio(df: DataFrame, previous: str, vector: str = "embedding") -> DataFrame:
     """One row: 1 - 2 * mean step / mean norm, in [0, 0.9]; 0 for under two rows."""
     own = df.agg(F.avg(V.euclidean(F.col(vector), F.col(previous))).alias("step"), F.avg(V.norm(F.col(vector))).alias("length"))
-    return own.select(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(0.9), 1 - 2 * F.col("step") / F.col("length"))), F.lit(0.0)).alias("ratio"))
+    return own.select(F.when(F.col("step").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(0.9), 1 - 2 * F.col("step") / F.col("length")))).otherwise(0.0).alias("ratio"))
 
 
 def in_sequences(df: DataFrame, size: int = 100, key: str = "vec_id") -> DataFrame:
