@@ -12,9 +12,8 @@ from vectorloom.functions import vectors as V
 from vectorloom.operators import angular, ann, compress, search
 from vectorloom.operators.ranking import global_rank, with_previous
 from vectorloom.plans.registry import query, table
-from vectorloom.plans.vector_queries import queries_of
+from vectorloom.plans.vector_queries import E, queries_of
 
-E = F.col("embedding")
 THETA = "CASE WHEN vec_id = 0 THEN 0.0 ELSE acos(greatest(-1.0, least(1.0, list_cosine_similarity(v, q)))) END"
 BASE = f"WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, q FROM embeddings, q), t AS (SELECT vec_id, label, v, {THETA} AS theta, sqrt(list_inner_product(v, v)) AS radius FROM e), o AS (SELECT *, row_number() OVER (ORDER BY theta, vec_id) - 1 AS ordinal FROM t), "
 SEQ = BASE + "p AS (SELECT *, vec_id // 100 AS seq_id, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY theta, vec_id) - 1 AS pos, count(*) OVER (PARTITION BY vec_id // 100) AS n FROM t), k AS (SELECT *, (pos % 16 = 0 OR pos = n - 1) AS is_anchor, CASE WHEN pos % 16 <= least(pos - pos % 16 + 16, n - 1) - pos THEN pos - pos % 16 ELSE least(pos - pos % 16 + 16, n - 1) END AS anchor_pos FROM p), d AS (SELECT k.*, a.v AS anchor, list_transform(list_zip(k.v, a.v), lambda p: p[1] - p[2]) AS delta FROM k JOIN k a ON k.seq_id = a.seq_id AND k.anchor_pos = a.pos WHERE NOT k.is_anchor), "
@@ -101,7 +100,7 @@ def search_spiral(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = placed(spark, sf_dir).withColumn("region_id", angular.region(F.col("theta")))
     regions = relevant_regions(spark, sf_dir).where("near or alike").select("region_id").limit(angular.REGIONS)
     rows = search.with_query(own.join(F.broadcast(regions), "region_id"), search.one_vector(table(spark, sf_dir, "embeddings"), 5))
-    found = rows.withColumn("similarity", V.similarity("cosine", E, F.col("q"))).orderBy(F.desc("similarity"), "vec_id").limit(10)
+    found = rows.withColumn("similarity", V.similarity("cosine", E(), F.col("q"))).orderBy(F.desc("similarity"), "vec_id").limit(10)
     return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -111,7 +110,7 @@ def search_spiral_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = placed(spark, sf_dir).withColumn("region_id", angular.region(F.col("theta")))
     asked = queries_of(own).join(own.select(F.col("vec_id").alias("query_id"), F.col("region_id").alias("own")), "query_id")
     near = asked.withColumn("region_id", F.explode(F.array(*(F.pmod(F.col("own") + d, F.lit(100)) for d in (-1, 0, 1)))))
-    pairs = near.join(own, "region_id").select("query_id", "vec_id", V.cosine(F.col("q"), E).alias("score"))
+    pairs = near.join(own, "region_id").select("query_id", "vec_id", V.cosine(F.col("q"), E()).alias("score"))
     found = search.top_per_group(pairs, "query_id", F.col("score"), 10, "vec_id")
     truth = search.knn_join(queries_of(own), own, 10)
     return search.recall_at_k(found, truth).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 3).alias("recall"))
@@ -212,7 +211,7 @@ def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = codebook(spark, sf_dir)
     own = compress.pq_decode(compress.pq_encode(table(spark, sf_dir, "embeddings"), book), book)
-    return own.select("vec_id", F.round(V.euclidean(E, F.col("decoded")), 6).alias("error"))
+    return own.select("vec_id", F.round(V.euclidean(E(), F.col("decoded")), 6).alias("error"))
 
 
 @query("pq_train")
@@ -227,11 +226,11 @@ def pq_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deltas coded with eight codes, rows spread over the ids less row 0, and decoded on their anchors."""
     e = numbered(spark, sf_dir)
-    zero = search.with_query(e, search.one_vector(e, 0)).withColumn("embedding", V.subtract(E, F.col("q"))).drop("q")
+    zero = search.with_query(e, search.one_vector(e, 0)).withColumn("embedding", V.subtract(E(), F.col("q"))).drop("q")
     book = compress.codebook_from_rows(zero, 8, 4, 64)
     own = compress.pq_encode(compress.deltas(sequences(spark, sf_dir)), book, vector="delta")
     own = compress.pq_decode(own, book)
-    return own.select("vec_id", F.round(V.euclidean(E, V.add(F.col("anchor"), F.col("decoded"))), 6).alias("error"))
+    return own.select("vec_id", F.round(V.euclidean(E(), V.add(F.col("anchor"), F.col("decoded"))), 6).alias("error"))
 
 
 @query("compression_size", SEQ + "s AS (SELECT seq_id, count(*) AS n, count(*) FILTER (is_anchor) AS anchors FROM k GROUP BY 1), z AS (SELECT seq_id, n * 256 AS raw_bytes, anchors * 256 + (n - anchors) * 8 * 4 + 1024 + 16 * anchors + 32 AS encoded_bytes FROM s) SELECT seq_id, raw_bytes, encoded_bytes, round(1 - encoded_bytes / raw_bytes, 6) AS ratio, round(least(0.7, greatest(0.3, 1 - encoded_bytes / raw_bytes)), 6) AS clamped_ratio FROM z")
@@ -329,7 +328,7 @@ PLANES = "WITH o AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen planes: the vectors of ids 1 to 16."""
-    return table(spark, sf_dir, "embeddings").where("vec_id between 1 and 16").select((F.col("vec_id") - 1).alias("h"), E.alias("plane"))
+    return table(spark, sf_dir, "embeddings").where("vec_id between 1 and 16").select((F.col("vec_id") - 1).alias("h"), E().alias("plane"))
 
 
 @query("lsh_buckets", PLANES + "c AS (SELECT vec_id, sum(bit * 2 ** h)::BIGINT AS bucket FROM bits GROUP BY 1) SELECT bucket, count(*) AS n FROM c GROUP BY 1")
@@ -357,7 +356,7 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     both = candidates(spark, sf_dir).join(queries_of(e), "query_id").join(e.select("vec_id", "embedding"), "vec_id")
-    found = both.select("query_id", "vec_id", V.cosine(F.col("q"), E).alias("score"))
+    found = both.select("query_id", "vec_id", V.cosine(F.col("q"), E()).alias("score"))
     return search.top_per_group(found, "query_id", F.col("score"), 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -365,6 +364,6 @@ def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's four nearest others, made symmetric."""
     e = table(spark, sf_dir, "embeddings")
-    found = search.knn_join(e.select(F.col("vec_id").alias("query_id"), E.alias("q")), e, 5).where("query_id <> vec_id")
+    found = search.knn_join(e.select(F.col("vec_id").alias("query_id"), E().alias("q")), e, 5).where("query_id <> vec_id")
     own = search.top_per_group(found.drop("rank"), "query_id", F.col("score"), 4, "vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"))
     return own.union(own.select("b", "a")).distinct()

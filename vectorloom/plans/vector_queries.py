@@ -10,7 +10,16 @@ from vectorloom.operators import search
 from vectorloom.operators.filters import apply_filter
 from vectorloom.plans.registry import query, table
 
-E, Q = F.col("embedding"), F.col("q")
+
+def E():  # noqa: N802
+    """The vector; a column can't be made before there is a session."""
+    return F.col("embedding")
+
+
+def Q():  # noqa: N802
+    return F.col("q")
+
+
 WITH = "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, q FROM embeddings, q) "
 SQ = "list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 MAN = "list_sum(list_transform(list_zip(v, q), lambda p: abs(p[1] - p[2])))"
@@ -33,31 +42,31 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scalar(name: str, value, sql: str) -> None:
-    query(name, f"{WITH}SELECT vec_id, round({sql}, 6) AS value FROM e")(lambda s, d: pairs(s, d).select("vec_id", F.round(value, 6).alias("value")))
+    query(name, f"{WITH}SELECT vec_id, round({sql}, 6) AS value FROM e")(lambda s, d: pairs(s, d).select("vec_id", F.round(value(), 6).alias("value")))
 
 
 LEN = "(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)))"
-scalar("vec_dot", V.dot(E, Q), DOT)
-scalar("vec_norm", V.norm(E), "sqrt(list_inner_product(v, v))")
-scalar("vec_cosine", V.cosine(E, Q), COS)
-scalar("vec_cosine_eps", V.cosine_eps(E, Q), f"{DOT} / ({LEN} + 1e-8)")
-scalar("sim_cosine01", V.similarity("cosine", E, Q), f"greatest(0, ({COS} + 1) / 2)")
-scalar("sim_l2", V.similarity("l2", E, Q), f"1 / (1 + sqrt({SQ}))")
-scalar("sim_ip", V.similarity("ip", E, Q), f"greatest(0, {DOT})")
-scalar("dist_to_sim_cosine", V.from_distance("cosine", 1 - V.cosine(E, Q)), f"greatest(0, 1 - (1 - {COS}))")
-scalar("dist_to_sim_l2", V.from_distance("l2", V.euclidean(E, Q)), f"1 / (1 + sqrt({SQ}))")
-scalar("dist_to_sim_ip", V.from_distance("ip", -V.dot(E, Q)), f"greatest(0, {DOT})")
-scalar("sim_to_dist_cosine", V.to_distance("cosine", V.cosine(E, Q)), f"1 - {COS}")
-scalar("sim_to_dist_l2", V.to_distance("l2", V.similarity("l2", E, Q)), f"greatest(0, 1 / (1 / (1 + sqrt({SQ}))) - 1)")
-scalar("sim_to_dist_ip", V.to_distance("ip", V.dot(E, Q)), f"-({DOT})")
-scalar("score_euclid_sq", V.score("euclidean_sq", E, Q), f"-({SQ})")
-scalar("score_euclid", V.score("euclidean", E, Q), f"-sqrt({SQ})")
-scalar("score_manhattan", V.score("manhattan", E, Q), f"-({MAN})")
-scalar("vec_weighted_sum", V.weighted_sum(E), "list_sum(list_transform(v, lambda x, i: x * i))")
-scalar("vec_complexity", V.complexity(E), "list_sum(list_transform(v, lambda x, i: abs(x) * sqrt(i)))")
+scalar("vec_dot", lambda: V.dot(E(), Q()), DOT)
+scalar("vec_norm", lambda: V.norm(E()), "sqrt(list_inner_product(v, v))")
+scalar("vec_cosine", lambda: V.cosine(E(), Q()), COS)
+scalar("vec_cosine_eps", lambda: V.cosine_eps(E(), Q()), f"{DOT} / ({LEN} + 1e-8)")
+scalar("sim_cosine01", lambda: V.similarity("cosine", E(), Q()), f"greatest(0, ({COS} + 1) / 2)")
+scalar("sim_l2", lambda: V.similarity("l2", E(), Q()), f"1 / (1 + sqrt({SQ}))")
+scalar("sim_ip", lambda: V.similarity("ip", E(), Q()), f"greatest(0, {DOT})")
+scalar("dist_to_sim_cosine", lambda: V.from_distance("cosine", 1 - V.cosine(E(), Q())), f"greatest(0, 1 - (1 - {COS}))")
+scalar("dist_to_sim_l2", lambda: V.from_distance("l2", V.euclidean(E(), Q())), f"1 / (1 + sqrt({SQ}))")
+scalar("dist_to_sim_ip", lambda: V.from_distance("ip", -V.dot(E(), Q())), f"greatest(0, {DOT})")
+scalar("sim_to_dist_cosine", lambda: V.to_distance("cosine", V.cosine(E(), Q())), f"1 - {COS}")
+scalar("sim_to_dist_l2", lambda: V.to_distance("l2", V.similarity("l2", E(), Q())), f"greatest(0, 1 / (1 / (1 + sqrt({SQ}))) - 1)")
+scalar("sim_to_dist_ip", lambda: V.to_distance("ip", V.dot(E(), Q())), f"-({DOT})")
+scalar("score_euclid_sq", lambda: V.score("euclidean_sq", E(), Q()), f"-({SQ})")
+scalar("score_euclid", lambda: V.score("euclidean", E(), Q()), f"-sqrt({SQ})")
+scalar("score_manhattan", lambda: V.score("manhattan", E(), Q()), f"-({MAN})")
+scalar("vec_weighted_sum", lambda: V.weighted_sum(E()), "list_sum(list_transform(v, lambda x, i: x * i))")
+scalar("vec_complexity", lambda: V.complexity(E()), "list_sum(list_transform(v, lambda x, i: abs(x) * sqrt(i)))")
 ATAN = "(CASE WHEN v[1] >= 0 THEN r / (1 + abs(r)) WHEN v[2] >= 0 THEN pi() - r / (1 + abs(r)) ELSE -pi() - r / (1 + abs(r)) END)"
 query("atan2_approx", f"{WITH}, a AS (SELECT vec_id, v, v[2] / (abs(v[1]) + 1e-8) AS r FROM e) SELECT vec_id, round({ATAN}, 6) AS value FROM a")(
-    lambda s, d: pairs(s, d).select("vec_id", F.round(V.base_angle(E), 6).alias("value"))
+    lambda s, d: pairs(s, d).select("vec_id", F.round(V.base_angle(E()), 6).alias("value"))
 )
 
 
@@ -65,22 +74,22 @@ def elementwise(name: str, made, sql: str) -> None:
     """Vector results are compared by component."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return pairs(spark, sf_dir).select("vec_id", F.posexplode(made).alias("dim", "x")).select("vec_id", (F.col("dim") + 1).alias("dim"), F.round("x", 6).alias("value"))
+        return pairs(spark, sf_dir).select("vec_id", F.posexplode(made()).alias("dim", "x")).select("vec_id", (F.col("dim") + 1).alias("dim"), F.round("x", 6).alias("value"))
 
     query(name, f"{WITH}, x AS (SELECT vec_id, {sql} AS x FROM e) SELECT vec_id, unnest(range(1, len(x) + 1))::INT AS dim, round(unnest(x), 6) AS value FROM x")(run)
 
 
-elementwise("vec_normalize", V.normalize(E), "list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8))")
-elementwise("vec_quantize_255", V.quantize_255(E), "list_transform(v, lambda x: round(x * 255) / 255)")
-elementwise("vec_quantize_row", F.transform(V.quantize_row(E, 4), lambda x: x.cast("double")), "list_transform(v, lambda x: least(15, greatest(0, floor((x - list_min(v)) / ((list_max(v) - list_min(v)) / 15) + 0.5)))::DOUBLE)")
-elementwise("reconstruct_vector", V.add(Q, V.subtract(E, Q)), "list_transform(list_zip(v, q), lambda p: p[2] + (p[1] - p[2]))")
+elementwise("vec_normalize", lambda: V.normalize(E()), "list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8))")
+elementwise("vec_quantize_255", lambda: V.quantize_255(E()), "list_transform(v, lambda x: round(x * 255) / 255)")
+elementwise("vec_quantize_row", lambda: F.transform(V.quantize_row(E(), 4), lambda x: x.cast("double")), "list_transform(v, lambda x: least(15, greatest(0, floor((x - list_min(v)) / ((list_max(v) - list_min(v)) / 15) + 0.5)))::DOUBLE)")
+elementwise("reconstruct_vector", lambda: V.add(Q(), V.subtract(E(), Q())), "list_transform(list_zip(v, q), lambda p: p[2] + (p[1] - p[2]))")
 
 
 @query("vec_quantize_global", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT min(list_min(v)) AS lo, max(list_max(v)) AS hi FROM e), x AS (SELECT vec_id, list_transform(v, lambda x: round_even((x - lo) / (hi - lo) * 255, 0) / 255) AS x FROM e, r) SELECT vec_id, unnest(range(1, len(x) + 1))::INT AS dim, round(unnest(x), 6) AS value FROM x")
 def vec_quantize_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     span = e.agg(F.min(F.array_min(V.vec("embedding"))).alias("lo"), F.max(F.array_max(V.vec("embedding"))).alias("hi"))
-    own = e.join(F.broadcast(span), how="cross").select("vec_id", F.posexplode(V.quantize(E, F.col("lo"), F.col("hi"), 8)).alias("dim", "x"))
+    own = e.join(F.broadcast(span), how="cross").select("vec_id", F.posexplode(V.quantize(E(), F.col("lo"), F.col("hi"), 8)).alias("dim", "x"))
     return own.select("vec_id", (F.col("dim") + 1).alias("dim"), F.round("x", 6).alias("value"))
 
 
@@ -98,7 +107,7 @@ def vec_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vec_hash")
 def vec_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", V.fingerprint(E).alias("hash"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.fingerprint(E()).alias("hash"))
 
 
 # ---- filters
@@ -134,7 +143,7 @@ def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dimension_check", "SELECT len(embedding)::INT AS dimensions, count(*) AS n FROM embeddings GROUP BY 1")
 def dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.size(V.checked(E, 64)).alias("dimensions")).groupBy("dimensions").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "embeddings").select(F.size(V.checked(E(), 64)).alias("dimensions")).groupBy("dimensions").agg(F.count("*").alias("n"))
 
 
 # ---- search
@@ -179,7 +188,7 @@ def recommend_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("topk_per_label", f"{WITH}, s AS (SELECT vec_id, label, {COS} AS score FROM e) SELECT vec_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 3")
 def topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(search.top_per_group(pairs(spark, sf_dir), "label", V.cosine(E, Q), 3, "vec_id"))
+    return shown(search.top_per_group(pairs(spark, sf_dir), "label", V.cosine(E(), Q()), 3, "vec_id"))
 
 
 @query("shard_merge_topk", f"{WITH}, s AS (SELECT vec_id, label, {DOT} AS score, vec_id % 8 AS shard FROM e), t AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY score DESC, vec_id) AS r FROM s QUALIFY r <= 5) {TOP.format('t', 5)}")
@@ -207,7 +216,7 @@ BOTH = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embe
 
 def queries_of(e: DataFrame) -> DataFrame:
     """The query set of joins: every row whose id is divisible by 20."""
-    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), E.alias("q"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), E().alias("q"))
 
 
 def joined(name: str, metric: str, sql: str) -> None:
@@ -355,7 +364,7 @@ def synthetic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"random": G.random_vectors, "normalized": G.normalized_vectors, "correlated": G.correlated_vectors, "clustered": G.clustered_vectors}
     out = None
     for kind, make in kinds.items():
-        part = make(spark, n, 16).agg(F.count("*").alias("n"), F.round(F.avg(V.norm(E)), 3).alias("mean_norm")).select(F.lit(kind).alias("kind"), "n", "mean_norm")
+        part = make(spark, n, 16).agg(F.count("*").alias("n"), F.round(F.avg(V.norm(E())), 3).alias("mean_norm")).select(F.lit(kind).alias("kind"), "n", "mean_norm")
         out = part if out is None else out.unionByName(part)
     return out
 
