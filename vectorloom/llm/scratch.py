@@ -1,48 +1,13 @@
-"""Lineage cuts in the shared folder, and the readers that all operators use."""
+"""What all operators use: cuts of lineage in the shared folder, tables, Arrow output schemas."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.  Where it is unset (tests, one machine) a temporary folder is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vectorloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the plan after it starts from replicated files, so a
-    lost executor costs no recomputation of what came before.  Reading back keeps the schema (also for an empty table)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/vectorloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear() -> None:
-    """Delete what cut() has written; results that still depend on it can't be read afterwards."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended before the interpreter
-            return
-
+from vectorloom.plans.scratch import clear, cut, shared_dir
 
-atexit.register(clear)
+__all__ = ["clear", "cut", "shared_dir", "struct", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
