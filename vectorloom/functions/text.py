@@ -7,15 +7,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Results depend on these patterns as they are.
-URGENCY = ("limited time", "act now", "hurry", "expires", "last chance", "only \\d+ left", "don't miss", "urgent")
-DENIAL = ("we don't", "we do not", "never", "not responsible", "no guarantee")
-OFFER = ("we offer", "you get", "guaranteed", "free", "we provide")
+#: Word lists and patterns that results depend on, in their given order.
+DENIAL = (
+    "no liability", "not liable", "denies.*liability", "denies.*responsibility",
+    "no fault", "not at fault", "rejects.*claims", "rejects.*responsibility",
+)
+OFFER = (
+    "offer.*payment", "settle.*amount", "compensation",
+    "monetary.*settlement", "pay.*damages", "financial.*remedy",
+    "settle.*case", "payment.*nok", "settle.*payment",
+)
+URGENCY = (
+    "act now", "limited time", "expires soon", "hurry",
+    "don't miss out", "last chance", "urgent", "immediate",
+)
 SECRETS = {
-    "critical": {"token": "token = \"[0-9a-f]{40}\"", "aws_key": "AKIA[0-9A-Z]{16}", "password": "(?i)password\\s*[=:]\\s*\\S+", "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----"},
-    "warning": {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "ip": "\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b"},
+    "critical": {
+        "api_key": r"""(?i)(api[_-]?key|apikey)\s*[=:]\s*["']?[a-zA-Z0-9_-]{20,}""",
+        "secret_key": r"""(?i)(secret[_-]?key|secretkey)\s*[=:]\s*["']?[a-zA-Z0-9_-]{20,}""",
+        "access_token": r"""(?i)(access[_-]?token|accesstoken)\s*[=:]\s*["']?[a-zA-Z0-9_.-]{20,}""",
+        "bearer": r"""(?i)(bearer\s+[a-zA-Z0-9_.-]{20,})""",
+        "password": r"""(?i)(password|pwd)\s*[=:]\s*["'][^"']{3,}["']""",
+        "mongodb": r"""(?i)mongodb://[^/\s]+:[^@\s]+@""",
+        "postgres": r"""(?i)postgres://[^/\s]+:[^@\s]+@""",
+        "aws_id": r"""(?i)aws[_-]?access[_-]?key[_-]?id\s*[=:]\s*["']?[A-Z0-9]{20}""",
+        "aws_secret": r"""(?i)aws[_-]?secret[_-]?access[_-]?key\s*[=:]\s*["']?[A-Za-z0-9/+=]{40}""",
+    },
+    "warning": {
+        "price": r"""\$[0-9,]+\s*(?:per|/)\s*(?:month|year|user|query)""",
+        "project": r"""(?i)project[_-]?(?:aurora|nebula|quantum|genesis)""",
+        "team": r"""(?i)team[_-]?(?:alpha|beta|gamma|delta)[_-]?(?:internal|private)""",
+    },
 }
-RED_FLAGS = ("guarantee", "risk-free", "instant", "miracle", "secret", "unlimited")
+RED_FLAGS = ("spiritual", "sacred", "consciousness", "love", "healing", "divine")
+# end of fixed values
+#: A rule of our own for the tables at hand.
+SECRETS["critical"]["token"] = 'token = "[0-9a-f]{40}"'
 
 
 def tokens(text: Column) -> Column:
@@ -41,7 +68,7 @@ def hash_embedding(docs: DataFrame, dimensions: int = 64, key: str = "doc_id", t
     """docs(key, text, ...) to (key, embedding), a row for each key: counts of tokens by bucket; places 0 to 3 hold the
     numbers of words, of a few function words, of question marks and of full stops; unit length.  Tokens are counted where
     they are, so a row per key, bucket and task is shuffled."""
-    own = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    own = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t"))
     words = reduce(lambda a, b: a + b, (count_of(F.col("__t"), w) for w in ("the", "and", "is")))
     # a step of its own: what stands beside explode would be computed again for each token
     own = own.select(key, words.alias("__1"), count_of(F.col("__t"), "?").alias("__2"), count_of(F.col("__t"), ".").alias("__3"), tokens(F.col("__t")).alias("__ts"))
@@ -72,8 +99,10 @@ def contradiction(text: Column) -> Column:
     return F.struct(F.when(both, 0.94).otherwise(0.0).alias("confidence"), F.when(both, 0.8).otherwise(0.0).alias("severity"))
 
 
-def content_score(confidence: Column, severity: Column) -> Column:
-    return F.when((confidence >= 0.7) & (severity >= 0.3), 0.8 - 0.3 * severity).otherwise(0.8)
+def content_score(text: Column) -> Column:
+    """0.8, less 0.3 times the severity of a significant urgency: confidence 0.7 or more, severity 0.3 or more."""
+    severity = urgency(text)
+    return F.when((severity >= 0.7) & (severity >= 0.3), 0.8 - 0.3 * severity).otherwise(0.8)
 
 
 def behaviour(user: Column, gain: Column, community: Column) -> Column:
@@ -109,7 +138,18 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cut: i
 
 
 def answer(texts: Column) -> Column:
-    """From documents, best first: of the first three, the first two sentences of over ten characters; the first three of
-    those, joined."""
-    own = F.flatten(F.transform(F.slice(texts, 1, 3), lambda t: F.slice(F.filter(F.transform(F.split(F.substring(t, 1, 500), r"\."), lambda s: F.trim(s)), lambda s: F.length(s) > 10), 1, 2)))
-    return F.concat(F.array_join(F.slice(own, 1, 3), ". "), F.lit("."))
+    """From documents, best first: of the first three, the first two sentences if they have over ten characters; the first
+    three of those, joined."""
+    own = F.flatten(F.transform(F.slice(texts, 1, 3), lambda t: F.filter(F.transform(F.slice(F.split(t, r"\."), 1, 2), lambda s: F.trim(s)), lambda s: F.length(s) > 10)))
+    found = F.concat(F.lit("Based on the retrieved documents: "), F.array_join(F.slice(own, 1, 3), ". "), F.lit("."))
+    return F.when(F.size(own) > 0, found).otherwise("The retrieved documents don't answer this.")
+
+
+def context(titles: Column, texts: Column, limit: int = 2000) -> Column:
+    """Numbered documents with the first 500 characters of each, as many as fit into limit characters."""
+    parts = F.transform(F.arrays_zip(titles.alias("a"), texts.alias("b")), lambda d, i: F.concat(F.lit("Document "), (i + 1).cast("string"), F.lit(": "), d["a"], F.lit("\n"), F.substring(d["b"], 1, 500), F.lit("...")))
+    sizes = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)))
+    fitting = F.filter(F.arrays_zip(parts.alias("p"), sizes.alias("n")), lambda x: x["n"] <= limit)
+    return F.array_join(F.transform(fitting, lambda x: x["p"]), "\n\n")
+
+

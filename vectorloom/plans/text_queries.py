@@ -29,7 +29,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EMBED = (
     f"WITH w AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents), c AS (SELECT doc_id, {BUCKET} AS b, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2), "
-    "h AS (SELECT doc_id, len(" + TOKENS + ")::DOUBLE AS n0, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'and', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'is', ''))) // 2)::DOUBLE AS n1, (length(text) - length(replace(text, '?', '')))::DOUBLE AS n2, (length(text) - length(replace(text, '.', '')))::DOUBLE AS n3 FROM documents), "
+    "h AS (SELECT doc_id, len(" + TOKENS + ")::DOUBLE AS n0, ((length(text) - length(replace(text, 'the', ''))) // 3 + (length(text) - length(replace(text, 'and', ''))) // 3 + (length(text) - length(replace(text, 'is', ''))) // 2)::DOUBLE AS n1, (length(text) - length(replace(text, '?', '')))::DOUBLE AS n2, (length(text) - length(replace(text, '.', '')))::DOUBLE AS n3 FROM documents), "
     "u AS (SELECT doc_id, b, n FROM c WHERE b > 3 UNION ALL SELECT doc_id, 0, n0 FROM h UNION ALL SELECT doc_id, 1, n1 FROM h UNION ALL SELECT doc_id, 2, n2 FROM h UNION ALL SELECT doc_id, 3, n3 FROM h), "
     "x AS (SELECT doc_id, b, n / nullif(sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 0) AS x FROM u)"
 )
@@ -78,7 +78,7 @@ def rag_join_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).join(F.broadcast(hits), "doc_id").select("doc_id", "rank", "lang", "source", F.substring("text", 1, 40).alias("title"))
 
 
-@query("rag_answer", FOUND + ", p AS (SELECT rank, list_filter(list_transform(string_split(left(d.text, 500), '.'), lambda s: trim(s, ' ')), lambda s: length(s) > 10)[1:2] AS s FROM k JOIN documents d USING (doc_id) WHERE rank <= 3) SELECT array_to_string(flatten(list(s ORDER BY rank))[1:3], '. ') || '.' AS answer FROM p")
+@query("rag_answer", FOUND + ", p AS (SELECT rank, list_filter(list_transform(string_split(d.text, '.')[1:2], lambda s: trim(s, ' ')), lambda s: length(s) > 10) AS s FROM k JOIN documents d USING (doc_id) WHERE rank <= 3) SELECT 'Based on the retrieved documents: ' || array_to_string(flatten(list(s ORDER BY rank))[1:3], '. ') || '.' AS answer FROM p")
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = found(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]).alias("texts"))
     return hits.select(X.answer(F.col("texts")).alias("answer"))
@@ -116,11 +116,11 @@ def urgency_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", X.urgency(own).alias("score"))
 
 
-CONTRA = f"WITH x AS (SELECT conv_id, turn, {_hits(X.DENIAL)} > 0 AND {_hits(X.OFFER)} > 0 AS hit FROM (SELECT conv_id, turn, text || CASE WHEN conv_id % 5 = 0 THEN ' We do not charge, you get it free' ELSE '' END AS text FROM conversations))"
+CONTRA = f"WITH x AS (SELECT conv_id, turn, {_hits(X.DENIAL)} > 0 AND {_hits(X.OFFER)} > 0 AS hit FROM (SELECT conv_id, turn, text || CASE WHEN conv_id % 5 = 0 THEN ' We are not liable, but offer a payment' ELSE '' END AS text FROM conversations))"
 
 
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.concat("text", F.when(F.col("conv_id") % 5 == 0, " We do not charge, you get it free").otherwise(""))
+    own = F.concat("text", F.when(F.col("conv_id") % 5 == 0, " We are not liable, but offer a payment").otherwise(""))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.contradiction(own).alias("c")).select("conv_id", "turn", "c.*")
 
 
@@ -129,9 +129,17 @@ def contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contradictions(spark, sf_dir)
 
 
-@query("content_score", CONTRA + " SELECT conv_id, turn, round(CASE WHEN hit THEN 0.8 - 0.3 * 0.8 ELSE 0.8 END, 6)::DOUBLE AS score FROM x")
+@query("content_score", f"WITH x AS (SELECT doc_id, {_hits(X.URGENCY)} AS h FROM (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN ' Act now, hurry, last chance' ELSE '' END AS text FROM documents)), y AS (SELECT doc_id, CASE WHEN h >= 2 THEN least(1.0, h / 8 * 2) ELSE 0.0 END::DOUBLE AS c FROM x) SELECT doc_id, round(CASE WHEN c >= 0.7 THEN 0.8 - 0.3 * c ELSE 0.8 END, 6)::DOUBLE AS score FROM y")
 def content_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contradictions(spark, sf_dir).select("conv_id", "turn", F.round(X.content_score(F.col("confidence"), F.col("severity")), 6).alias("score"))
+    own = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " Act now, hurry, last chance").otherwise(""))
+    return docs(spark, sf_dir).select("doc_id", F.round(X.content_score(own), 6).alias("score"))
+
+
+@query("rag_context", FOUND + ", p AS (SELECT rank, 'Document ' || rank || ': ' || d.source || chr(10) || left(d.text, 500) || '...' AS t FROM k JOIN documents d USING (doc_id)), s2 AS (SELECT rank, t, sum(length(t)) OVER (ORDER BY rank) AS n FROM p) SELECT string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM s2 WHERE n <= 2000")
+def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = found(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    own = hits.agg(F.array_sort(F.collect_list(F.struct("rank", "source", "text"))).alias("h"))
+    return own.select(X.context(F.transform("h", lambda h: h["source"]), F.transform("h", lambda h: h["text"])).alias("context"))
 
 
 @query("behavior_class", "SELECT event_id, CASE WHEN net > 0.1 THEN 'service' WHEN net < -0.1 THEN 'extraction' ELSE 'neutral' END AS class FROM (SELECT event_id, (user_id % 10) / 10 + (user_id % 3) / 10 - (user_id % 7) / 7 AS net FROM events)")
@@ -145,9 +153,9 @@ def term_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(X.rewrite(F.col("text"), TERMS).cast("binary")).alias("digest"))
 
 
-@query("red_flags", "SELECT doc_id, array_to_string(list_filter(['guarantee', 'risk-free', 'instant', 'miracle', 'secret', 'unlimited'], lambda w: contains(lower(text), w)), ',') AS flags FROM (SELECT doc_id, text || CASE WHEN doc_id % 6 = 0 THEN ' an Instant, unlimited offer' ELSE '' END AS text FROM documents)")
+@query("red_flags", "SELECT doc_id, array_to_string(list_filter(['spiritual', 'sacred', 'consciousness', 'love', 'healing', 'divine'], lambda w: contains(lower(text), w)), ',') AS flags FROM (SELECT doc_id, text || CASE WHEN doc_id % 6 = 0 THEN ' a Divine, healing offer' ELSE '' END AS text FROM documents)")
 def red_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.concat("text", F.when(F.col("doc_id") % 6 == 0, " an Instant, unlimited offer").otherwise(""))
+    own = F.concat("text", F.when(F.col("doc_id") % 6 == 0, " a Divine, healing offer").otherwise(""))
     return docs(spark, sf_dir).select("doc_id", F.array_join(X.red_flags(own), ",").alias("flags"))
 
 
