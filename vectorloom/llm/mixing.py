@@ -5,8 +5,9 @@ Targets: sources in code point order (null last) weigh 5, 2, 1 and so on, and sh
 min(3 * source_size, weight * level) with one level for all, found from sums over the sources in order of 3 * size / weight.
 
 Sampling: all documents of a source expect target / source_size copies.  Along the source's documents in order of size class
-(8 classes per doubling) and then of md5(doc_id), expected copies are prefix-summed from one random offset, and a document
-is emitted once for each integer passed.  Size order makes the words taken follow the target closely.  Positions come from
+(8 classes per doubling) and then of md5(doc_id), expected copies are prefix-summed from one offset, and a document is emitted
+once for each integer passed.  Size order makes the words taken follow the target closely; the offset is a random one, shifted
+by the multiple of 1 / SHIFTS that brings them nearest, which matters to sources of a few documents.  Positions come from
 counts at three levels (size class, slice of the md5, row within the slice), so no task orders a whole source.
 
 Defined results: a null or word-free text has size 0 and takes 0 words; a source without words has target 0; a null doc_id
@@ -23,6 +24,7 @@ from vectorloom.llm.scratch import cut
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
+SHIFTS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,10 +73,18 @@ def plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
     placed = sized.withColumn("row", row).alias("d").join(offsets.alias("o"), same("d", "o", groups))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("d.source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    place = F.col("before") + F.col("row")
-    passed = lambda k: F.floor(k * each + start)
-    copies = F.when(F.col("size") > 0, passed(place) - passed(place - 1)).otherwise(0)
-    return placed.select("d.doc_id", "d.source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    placed = cut(placed.select("d.doc_id", "d.source", "size", "source_size", "target", each.alias("each"), start.alias("start"), (F.col("before") + F.col("row")).alias("place")))
+
+    def copies(shift: Column) -> Column:
+        passed = lambda k: F.floor(k * F.col("each") + F.col("start") + shift)
+        return F.when(F.col("size") > 0, passed(F.col("place")) - passed(F.col("place") - 1)).otherwise(0)
+
+    shifts = [F.lit(k / SHIFTS) for k in range(SHIFTS)]
+    tried = placed.groupBy("source").agg(F.any_value("target").alias("target"), *(F.sum(F.col("size") * copies(x)).alias(f"t{k}") for k, x in enumerate(shifts)))
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), x.alias("shift")) for k, x in enumerate(shifts))))
+    tried = cut(tried.select("source", nearest["shift"].alias("shift")))
+    out = placed.alias("p").join(tried.alias("t"), same("p", "t", ["source"]))
+    return out.select("p.doc_id", "p.source", "size", "source_size", "target", copies(F.col("shift")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:

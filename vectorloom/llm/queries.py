@@ -150,10 +150,13 @@ c AS (SELECT *, coalesce(sum(most) OVER b, 0) AS capped, sum(weight) OVER () - c
 v AS (SELECT *, (total - capped)::DOUBLE / free::DOUBLE AS level FROM c),
 z AS (SELECT ratio AS r0, level AS l0 FROM v WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN ratio >= r0 THEN weight * l0 ELSE most END::DOUBLE AS target FROM v, z),
-p AS (SELECT k.doc_id, size, source_size, target, row_number() OVER (PARTITION BY k.source ORDER BY class, key, k.doc_id, size) AS place,
+p AS (SELECT k.doc_id, k.source, size, source_size, target, row_number() OVER (PARTITION BY k.source ORDER BY class, key, k.doc_id, size) AS place,
              CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each, ('0x' || substr(md5('mix:' || coalesce(k.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-n AS (SELECT *, CASE WHEN size > 0 THEN (floor(place * each + start) - floor((place - 1) * each + start))::BIGINT ELSE 0 END AS copies FROM p)
+h AS (SELECT source, j / 16 AS shift, abs(sum(CASE WHEN size > 0 THEN size * (floor(place * each + start + j / 16) - floor((place - 1) * each + start + j / 16)) ELSE 0 END) - any_value(target)) AS off
+      FROM p, range(16) r(j) GROUP BY source, j),
+b AS (SELECT source, arg_min(shift, (off, shift)) AS shift FROM h GROUP BY source),
+n AS (SELECT p.*, CASE WHEN size > 0 THEN (floor(place * each + start + shift) - floor((place - 1) * each + start + shift))::BIGINT ELSE 0 END AS copies FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM n
 """
 
