@@ -4,12 +4,13 @@ Suffixes are kept at minimiser positions only: of every WINDOW consecutive finge
 equal passages of GRAM + WINDOW - 1 words or more choose the same place in each.  Suffixes whose first GRAM words occur
 nowhere else are dropped after one count.  The others, each with REACH words to the right and to the left as fingerprints of
 three bytes, are sorted over the cluster by range; neighbours are compared, and matches extended right and left.  Ranges are
-split between rows, so a passage with any number of copies is spread; the rows at range borders are compared in a last step.
+split between rows, so a passage with any number of copies is spread; rows at range borders meet in a last step.
 
-A neighbour is the nearest row of another document on either side.  A passage of min_words or more shared with another
-document is reported wherever left and right match together reach min_words; a passage that is longer than REACH is covered
-by its later suffixes, and overlapping spans of a document are merged.  The nearest neighbour has the longest match to the
-right; where it matches less to the left than a farther one, up to WINDOW - 1 words at a span's left end can be missed.
+A neighbour is the nearest row of another document on either side; it has the longest match to the right.  Where three or
+more rows begin alike, a farther one may match farther to the left, so all windows of min_words words around those rows are
+compared by fingerprint as well.  A passage longer than REACH is covered by its later suffixes; overlapping spans of a
+document are merged.  So every window of min_words words that another document has is found; only where over GROUP rows
+begin alike are windows compared part by part, beside the neighbours.
 
 Defined results: null, empty and short texts have no suffixes; rows that repeat a doc_id count as one document; a null doc_id
 is a document, too; an empty table gives an empty result; extra columns are ignored.
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm.scratch import cut, struct
-from vectorloom.llm.textscan import Texts, U, chunks, grams, int64
+from vectorloom.llm.textscan import Texts, U, chunks, grams, int64, mix
 
 GRAM, WINDOW, REACH = 8, 43, 50
+GROUP, EDGE = 16384, 512
 BYTES = 3 * REACH
 
 
@@ -132,54 +134,102 @@ class _Rows:
         own, other = np.concatenate([a, b]), np.concatenate([b, a])
         right, left = np.tile(right, 2), np.tile(left, 2)
         ids = lambda k: pa.array(self.doc[k], mask=self.null[k])
-        table = pa.table({"doc_id": ids(own), "start": self.pos[own] - left, "stop": self.pos[own] + right, "partner": ids(other)})
+        start, stop, partner = self.pos[own] - left, self.pos[own] + right, other
+        more = self.windows(min_words)
+        own, start, stop, partner = (np.concatenate(x) for x in zip((own, start, stop, partner), more))
+        table = pa.table({"doc_id": ids(own), "start": start, "stop": stop, "partner": ids(partner)})
         return table.group_by(["doc_id", "start", "stop"]).aggregate([("partner", "min")]).rename_columns(["doc_id", "start", "stop", "partner"]).combine_chunks()
 
-
-SPAN = {"kind": "int", "part": "int", "doc_id": "bigint", "start": "bigint", "stop": "bigint", "partner": "bigint"}
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For suffixes of three or more rows that begin alike, where the nearest neighbour need not be the one that matches
+        farthest to the left: all windows of `size` words at a row, from none to WINDOW - 1 words before it, that a row of
+        another document has as well.  As (row, start, stop, row of a partner), neighbouring windows joined."""
+        gram = self.right[:, :GRAM].reshape(len(self.doc), -1)
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]).any(1)
+        group = np.cumsum(new) - 1
+        rows = np.flatnonzero(np.bincount(group)[group] > 2)
+        if not len(rows):
+            return (np.zeros(0, np.int64),) * 4
+        code = lambda x: x[rows].astype(U) @ np.array([1 << 16, 1 << 8, 1], U)
+        prefix = []
+        for x in (code(self.right), code(self.left)):
+            x = mix(x + U(1))
+            total = np.zeros((len(rows), REACH + 1), U)
+            for k in range(REACH):
+                total[:, k + 1] = total[:, k] * U(0xD1342543DE82EF95) + x[:, k]
+            prefix.append(total)
+        before = np.arange(min(WINDOW, REACH + 1))
+        keys = mix(prefix[1][:, before] * U(0x9E3779B97F4A7C15) + prefix[0][:, size - before] + before.astype(U))
+        fits = (self.l[rows][:, None] >= before) & (self.r[rows][:, None] >= size - before)
+        row, lead = np.nonzero(fits)
+        keys, row = keys[row, lead], rows[row]
+        doc = np.where(self.null[row], np.iinfo(np.int64).min, self.doc[row])
+        order = np.lexsort((doc, keys))
+        keys, row, lead, doc = keys[order], row[order], lead[order], doc[order]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        size_of = np.diff(np.append(at, len(keys)))
+        first, last = np.repeat(at, size_of), np.repeat(at + size_of - 1, size_of)
+        hit = doc[first] != doc[last]
+        partner = row[np.where(doc[first] == doc, last, first)][hit]
+        row, lead = row[hit], lead[hit]
+        order = np.lexsort((lead, row))
+        row, lead, partner = row[order], lead[order], partner[order]
+        head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (lead[1:] != lead[:-1] + 1))) if len(row) else np.zeros(0, np.int64)
+        tail = np.append(head[1:], len(row))[: len(head)] - 1
+        return row[head], self.pos[row[head]] - lead[tail], self.pos[row[head]] - lead[head] + size, partner[head]
+
+
+SPAN = {"kind": "int", "doc_id": "bigint", "start": "bigint", "stop": "bigint", "partner": "bigint"}
 
 
 def _neighbours(min_words: int, borders: bool):
-    """Spans of sorted rows, and with borders the first and last rows of the partition, which meet those of the next.  Rows
-    are held until another document follows twice over, so the nearest rows of other documents are at hand."""
+    """Spans of sorted rows.  Rows are held until the first GRAM words change, so rows that begin alike are seen together, in
+    parts of GROUP rows where there are more; parts overlap by the last row of the document before.  With borders, up to
+    EDGE rows that begin like the partition's first or last row go out as well, to meet those of the partition beside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             for t in _Rows(rows.combine_chunks().to_batches()[0]).spans(min_words).to_batches():
                 none = [pa.nulls(t.num_rows, k) for k in (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())]
-                zero = pa.array(np.zeros(t.num_rows, np.int32))
-                yield pa.RecordBatch.from_arrays([zero, pa.array(np.full(t.num_rows, part, np.int32)), *t.select(["doc_id", "start", "stop", "partner"]).columns, *none], names=[*SPAN, "right", "left", "pos", "r", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(t.num_rows, np.int32)), *t.select(["doc_id", "start", "stop", "partner"]).columns, *none], names=[*SPAN, "right", "left", "pos", "r", "l"])
 
-        def edge(rows: pa.Table, kind: int) -> pa.RecordBatch:
-            b = rows.combine_chunks().to_batches()[0]
-            n = b.num_rows
-            none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), b.column("doc_id"), none, none, none, *(b.column(c) for c in ("right", "left", "pos", "r", "l"))], names=[*SPAN, "right", "left", "pos", "r", "l"])
+        def edge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            for b in rows.combine_chunks().to_batches():
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int32)), b.column("doc_id"), none, none, none, *(b.column(c) for c in ("right", "left", "pos", "r", "l"))], names=[*SPAN, "right", "left", "pos", "r", "l"])
 
         held: pa.Table | None = None
-        first = True
+        head: bytes | None = None
+        leading = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             batch = pa.Table.from_batches([batch.select(list(ROW))])
-            if first and borders:
-                yield edge(batch.slice(0, 1), 1)
-                first = False
+            grams = [x[: 3 * GRAM] for x in batch.column("right").to_pylist()]
+            head = grams[0] if head is None else head
+            if borders and leading < EDGE:
+                more = min(EDGE - leading, next((k for k, g in enumerate(grams) if g != head), len(grams)))
+                if more:
+                    yield from edge(batch.slice(0, more))
+                leading = EDGE if more < len(grams) else leading + more
             held = batch if held is None else pa.concat_tables([held, batch])
-            ids = held.column("doc_id").fill_null(-(2**62)).to_numpy()
-            turns = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            if len(turns) < 2 or len(ids) < 2048:
-                continue
-            yield from found(held)
-            held = held.slice(int(turns[-1]) - 1)
+            last = next((k for k in range(len(grams) - 1, 0, -1) if grams[k - 1] != grams[k]), 0)
+            if last:
+                whole = held.num_rows - len(grams) + last
+                yield from found(held.slice(0, whole))
+                held = held.slice(whole)
+            elif held.num_rows >= GROUP:
+                yield from found(held)
+                ids = held.column("doc_id").fill_null(-(2**62)).to_numpy()
+                turns = np.flatnonzero(ids[1:] != ids[:-1])
+                held = held.slice(int(turns[-1]) if len(turns) else held.num_rows - 1)
         if held is not None:
             yield from found(held)
             if borders:
-                yield edge(held.slice(held.num_rows - 1), 2)
+                grams = [x[: 3 * GRAM] for x in held.column("right").to_pylist()]
+                own = next((len(grams) - 1 - k for k, g in enumerate(reversed(grams)) if g != grams[-1]), -1) + 1
+                yield from edge(held.slice(max(own, held.num_rows - EDGE)))
 
     return run
 
@@ -187,8 +237,8 @@ def _neighbours(min_words: int, borders: bool):
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, start_word, end_word, n_words, partner_id): the maximal spans of each document
     that are covered by passages of min_words or more found in another document; partner_id: one that has a part of it."""
-    if min_words < GRAM + WINDOW - 1:
-        raise ValueError(f"passages under {GRAM + WINDOW - 1} words need not meet a kept suffix")
+    if not GRAM + WINDOW - 1 <= min_words <= REACH:
+        raise ValueError(f"min_words must be from {GRAM + WINDOW - 1} (shorter passages need not meet a kept suffix) to {REACH}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     anchors = cut(docs.mapInArrow(_anchors, struct(gram="bigint", doc_id="bigint", pos="int")))
     known = cut(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # AQE can split the join
@@ -198,7 +248,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     order = ["right", "left", "doc_id", "pos"]
     out = struct(**SPAN, right="binary", left="binary", pos="int", r="int", l="int")
     near = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(min_words, True), out))
-    edges = near.where("kind > 0").select(*ROW).repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours(min_words, False), out)
+    edges = near.where("kind > 0").select(*ROW).distinct().repartition(F.substring("right", 1, 3 * GRAM)).sortWithinPartitions(*order)
+    edges = edges.mapInArrow(_neighbours(min_words, False), out)
     spans = near.where("kind = 0").unionByName(edges.where("kind = 0")).select("doc_id", "start", "stop", "partner").distinct()
     own = Window.partitionBy("doc_id").orderBy("start", "stop")
     spans = spans.withColumn("reach", F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)))
