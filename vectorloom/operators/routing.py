@@ -46,6 +46,28 @@ def node_weight(load: Column, response_ms: Column, success: Column) -> Column:
     return F.least(F.lit(3.0), F.greatest(F.lit(0.1), weight))
 
 
+def hashed(nodes: list[str], key: Column) -> Column:
+    """The node at the key's position modulo their number."""
+    return F.element_at(F.array(*map(F.lit, sorted(nodes))), (place(key) % len(nodes) + 1).cast("int"))
+
+
+def by_range(bounds: list[int], key: Column) -> Column:
+    """The number of the first bound at or behind the key's position; null behind the last, as ranges don't wrap."""
+    edges = F.array(*(F.lit(b).cast("long") for b in sorted(bounds)))
+    index = F.array_size(F.filter(edges, lambda b: b < place(key)))
+    return F.when(index < len(bounds), index)
+
+
+def weighted(df: DataFrame, weights: DataFrame, key: Column, into: str = "node") -> DataFrame:
+    """weights(node, weight) as one row: each key goes to the node in whose share of the weights its position falls."""
+    one = weights.agg(F.array_sort(F.collect_list(F.struct("node", "weight"))).alias("w"))
+    share = F.transform("w", lambda x, i: F.struct(x["node"].alias("node"), F.aggregate(F.slice("w", 1, i + 1), F.lit(0.0), lambda s, y: s + y["weight"]).alias("upto")))
+    one = one.select(share.alias("w"))
+    at = place(key) / F.lit(float(1 << 60)) * F.element_at("w", -1)["upto"]
+    index = F.array_size(F.filter("w", lambda x: x["upto"] <= at))
+    return df.join(F.broadcast(one), how="cross").withColumn(into, F.element_at("w", F.least(index + 1, F.size("w")))["node"]).drop("w")
+
+
 def rebalance(nodes: DataFrame, shards: DataFrame, slack: float = 0.2) -> DataFrame:
     """nodes(node), shards(node, load) to (node, shards, load, state): idle nodes count as well."""
     own = shards.groupBy("node").agg(F.count("*").alias("shards"), F.sum("load").alias("load"))

@@ -230,6 +230,24 @@ def least_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states(spark, sf_dir).orderBy("connections", "node").limit(1).select("node")
 
 
+@query("hash_select", "SELECT o_orderkey, 'node-' || (" + PLACE.format("o_orderkey::VARCHAR") + " % 8) AS node FROM orders")
+def hash_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", routing.hashed(NODES, F.col("o_orderkey").cast("string")).alias("node"))
+
+
+@query("range_partition", "WITH x AS (SELECT o_orderkey, " + PLACE.format("o_orderkey::VARCHAR") + " AS p FROM orders) SELECT o_orderkey, CASE WHEN p <= 7 * (1::BIGINT << 57) THEN ((p + (1::BIGINT << 57) - 1) // (1::BIGINT << 57) - 1)::INT ELSE -1 END AS part FROM x")
+def range_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven bounds an eighth of the ring apart; the last eighth has none."""
+    bounds = [(k + 1) << 57 for k in range(7)]
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(routing.by_range(bounds, F.col("o_orderkey").cast("string")), F.lit(-1)).alias("part"))
+
+
+@query("weighted_select", STATE + ", w AS (SELECT node, round(least(3.0, greatest(0.1, 2 * success * (2 - least(load, 2)) * (2 - least(latency / 500, 2)))), 6)::DOUBLE AS weight FROM s), c AS (SELECT node, sum(weight) OVER (ORDER BY node) AS upto, sum(weight) OVER (ORDER BY node) - weight AS low FROM w), x AS (SELECT event_id, " + PLACE.format("event_id::VARCHAR") + " / (1::BIGINT << 60)::DOUBLE * (SELECT max(upto) FROM c) AS spot FROM events) SELECT event_id, node FROM x JOIN c ON spot >= low AND spot < upto")
+def weighted_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = node_weight(spark, sf_dir)
+    return routing.weighted(table(spark, sf_dir, "events").select("event_id"), own, F.col("event_id").cast("string"))
+
+
 @query("healthy_nodes", NODE + " SELECT node FROM n WHERE errors / requests < 0.25 AND requests > 0 AND epoch((SELECT max(seen) FROM n)) - epoch(seen) <= 3600")
 def healthy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = by_node(spark, sf_dir)

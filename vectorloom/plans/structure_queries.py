@@ -222,7 +222,10 @@ def pq_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress.reconstruction(own, "embedding", "decoded")
 
 
-@query("delta_decode", SEQ[:-2] + ", o2 AS (SELECT *, vec_id AS vid FROM d)" + CODE.replace("FROM {t}, b)", "FROM o2, b)").format(v="o2.delta", t="o2").replace("o.v[", "(SELECT list_transform(list_zip(x.v, y.v), lambda p: p[1] - p[2]) FROM t x, t y WHERE x.vec_id = o.vec_id AND y.vec_id = 0)[").replace("o.ordinal = c.c * (SELECT count(*) FROM o) // 8", "o.vec_id = c.c * (SELECT count(*) FROM o) // 8") + ", g AS (SELECT vec_id, flatten(list(centroid ORDER BY m.subspace)) AS decoded FROM m JOIN b ON m.subspace = b.subspace AND m.code = b.code GROUP BY vec_id) SELECT vec_id, round(list_distance(d.v, list_transform(list_zip(anchor, decoded), lambda p: p[1] + p[2])), 6) AS error FROM g JOIN d USING (vec_id)")
+DELTA_CODE = SEQ[:-2] + ", o2 AS (SELECT *, vec_id AS vid FROM d)" + CODE.replace("FROM {t}, b)", "FROM o2, b)").format(v="o2.delta", t="o2").replace("o.v[", "(SELECT list_transform(list_zip(x.v, y.v), lambda p: p[1] - p[2]) FROM t x, t y WHERE x.vec_id = o.vec_id AND y.vec_id = 0)[").replace("o.ordinal = c.c * (SELECT count(*) FROM o) // 8", "o.vec_id = c.c * (SELECT count(*) FROM o) // 8")
+
+
+@query("delta_decode", DELTA_CODE + ", g AS (SELECT vec_id, flatten(list(centroid ORDER BY m.subspace)) AS decoded FROM m JOIN b ON m.subspace = b.subspace AND m.code = b.code GROUP BY vec_id) SELECT vec_id, round(list_distance(d.v, list_transform(list_zip(anchor, decoded), lambda p: p[1] + p[2])), 6) AS error FROM g JOIN d USING (vec_id)")
 def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deltas coded with eight codes, rows spread over the ids less row 0, and decoded on their anchors."""
     e = numbered(spark, sf_dir)
@@ -233,6 +236,17 @@ def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("vec_id", F.round(V.euclidean(E(), V.add(F.col("anchor"), F.col("decoded"))), 6).alias("error"))
 
 
+@query("encode_sequence", DELTA_CODE + " SELECT k.vec_id, k.seq_id, k.pos, k.is_anchor, coalesce(string_agg(code::VARCHAR, ',' ORDER BY subspace), '') AS codes FROM k LEFT JOIN m USING (vec_id) GROUP BY ALL")
+def encode_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence as anchors, which are kept, and the codes of the deltas of all others."""
+    e = numbered(spark, sf_dir)
+    zero = search.with_query(e, search.one_vector(e, 0)).withColumn("embedding", V.subtract(E(), F.col("q"))).drop("q")
+    own = compress.with_size(sequences(spark, sf_dir)).withColumn("is_anchor", compress.is_anchor(F.col("pos"), F.col("n"), 16))
+    coded = compress.pq_encode(compress.deltas(sequences(spark, sf_dir)), compress.codebook_from_rows(zero, 8, 4, 64), vector="delta")
+    out = own.join(coded.select("vec_id", "codes"), "vec_id", "left")
+    return out.select("vec_id", "seq_id", F.col("pos").cast("long").alias("pos"), "is_anchor", F.coalesce(F.array_join("codes", ","), F.lit("")).alias("codes"))
+
+
 @query("compression_size", SEQ + "s AS (SELECT seq_id, count(*) AS n, count(*) FILTER (is_anchor) AS anchors FROM k GROUP BY 1), z AS (SELECT seq_id, n * 256 AS raw_bytes, anchors * 256 + (n - anchors) * 8 * 4 + 1024 + 16 * anchors + 32 AS encoded_bytes FROM s) SELECT seq_id, raw_bytes, encoded_bytes, round(1 - encoded_bytes / raw_bytes, 6) AS ratio, round(least(0.7, greatest(0.3, 1 - encoded_bytes / raw_bytes)), 6) AS clamped_ratio FROM z")
 def compression_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = compress.sizes(sequences(spark, sf_dir), 64, 16, 8, 4)
