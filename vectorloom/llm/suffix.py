@@ -201,18 +201,19 @@ def _neighbours(min_words: int, borders: bool):
 
         held: pa.Table | None = None
         head: bytes | None = None
-        leading = 0
+        lead: list[pa.Table] = []  # rows that begin like the first
+        alike = True  # all rows so far do
         for batch in batches:
             if not batch.num_rows:
                 continue
             batch = pa.Table.from_batches([batch.select(list(ROW))])
             grams = [x[: 3 * GRAM] for x in batch.column("right").to_pylist()]
             head = grams[0] if head is None else head
-            if borders and leading < EDGE:
-                more = min(EDGE - leading, next((k for k, g in enumerate(grams) if g != head), len(grams)))
-                if more:
-                    yield from edge(batch.slice(0, more))
-                leading = EDGE if more < len(grams) else leading + more
+            same = next((k for k, g in enumerate(grams) if g != head), len(grams)) if alike else 0
+            room = EDGE - sum(t.num_rows for t in lead)
+            if borders and same and room:
+                lead.append(batch.slice(0, min(same, room)))
+            alike = alike and same == len(grams)
             held = batch if held is None else pa.concat_tables([held, batch])
             last = next((k for k in range(len(grams) - 1, 0, -1) if grams[k - 1] != grams[k]), 0)
             if last:
@@ -227,9 +228,12 @@ def _neighbours(min_words: int, borders: bool):
         if held is not None:
             yield from found(held)
             if borders:
+                # where one beginning fills a whole partition, its ends are enough: its rows have met each other
+                most = 1 if alike else EDGE
                 grams = [x[: 3 * GRAM] for x in held.column("right").to_pylist()]
                 own = next((len(grams) - 1 - k for k, g in enumerate(reversed(grams)) if g != grams[-1]), -1) + 1
-                yield from edge(held.slice(max(own, held.num_rows - EDGE)))
+                yield from edge(pa.concat_tables(lead).slice(0, most))
+                yield from edge(held.slice(max(own, held.num_rows - most)))
 
     return run
 
