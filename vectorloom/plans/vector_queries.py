@@ -344,7 +344,7 @@ def latest_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("seq_id").agg(F.count("*").alias("vector_count")).orderBy(F.desc("seq_id")).limit(1)
 
 
-@query("table_stats", "SELECT count(*) AS vectors, 64 AS dimensions, count(*) * 256 AS raw_bytes, 2 AS batches FROM embeddings")
+@query("table_stats", "SELECT count(*) AS vectors, 64 AS dimensions, count(*) * 256 AS raw_bytes, 2::BIGINT AS batches FROM embeddings")
 def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir).stats().select("vectors", "dimensions", "raw_bytes", "batches")
 
