@@ -7,9 +7,9 @@ divided by their number (Bonferroni).  So with probability 1 - delta no accepted
 documents of its stratum.  A rule with too few labels to certify its most lenient cutoff rejects nothing.
 
 Counts come from all labelled rows in one aggregation; only counts per stratum, rule and cutoff reach the driver, and strata
-are bounded: the MAX_STRATA most labelled, all others pooled.
+are bounded: the MAX_STRATA most labelled; the others certify nothing, so only the base rules reject in them.
 
-Defined results: a null text has no words and fails the base rules; null lang is a stratum of the pool; labels without a
+Defined results: a null text has no words and fails the base rules; null lang is a stratum of its own; labels without a
 document are ignored; repeated labels each count; with no labels the base rules alone decide.
 """
 
