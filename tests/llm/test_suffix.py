@@ -36,3 +36,25 @@ def test_empty(spark):
     assert suffix.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         suffix.repeated_passages(spark.createDataFrame([], SCHEMA), 20)
+
+
+@pytest.mark.parametrize(("group", "edge"), [(16384, 512), (8, 64)])
+def test_borders_and_parts(spark, monkeypatch, group, edge):
+    """Many ranges, so that rows that begin alike are split between partitions, and small parts."""
+    monkeypatch.setattr(suffix, "GROUP", group)
+    monkeypatch.setattr(suffix, "EDGE", edge)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(12)
+        hot = [prose(rng, n, 10**6) for n in (55, 70, 90)]
+        texts = {i: " ".join([prose(rng, rng.randrange(5, 60), 10**6), *rng.sample(hot, rng.randrange(3)), prose(rng, rng.randrange(5, 60), 10**6)]) for i in range(90)}
+        got, want = covered(spark, texts), repeated(texts)
+        if group > 100:
+            assert got == want
+        else:
+            assert got.keys() == want.keys() and all(got[i] <= want[i] for i in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
