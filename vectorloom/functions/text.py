@@ -56,6 +56,8 @@ def count_of(text: Column, word: str) -> Column:
 def bucket(word: Column, size: int) -> Column:
     """The md5 as one number, modulo size."""
     digest = F.md5(word.cast("binary"))
+    if 2**32 % size == 0:  # only the last part matters
+        return (F.conv(F.substring(digest, 25, 8), 16, 10).cast("long") % size).cast("int")
     high, low = (F.conv(F.substring(digest, a, 8), 16, 10).cast("long") for a in (1, 25))
     mid = [F.conv(F.substring(digest, a, 8), 16, 10).cast("long") for a in (9, 17)]
     out = high % size

@@ -20,13 +20,18 @@ def ring(spark: SparkSession, nodes: list[str], virtual: int = 64) -> DataFrame:
     return own.select("node", place(F.concat_ws(":", "node", F.col("i").cast("string"))).alias("position"))
 
 
-def lookup(df: DataFrame, rings: DataFrame, key: Column, into: str = "node") -> DataFrame:
-    """Adds the node of the first position at or behind the key's, wrapping: a binary search in the ring as one array."""
+def lookup(df: DataFrame, rings: DataFrame, key: Column, into: str = "node", cells: int = 4096) -> DataFrame:
+    """Adds the node of the first position at or behind the key's, wrapping.  The ring is cut into cells, each with its own
+    positions and the first behind it, so a key meets a few positions by an equi-join with one broadcast row per cell."""
+    width = (1 << 60) // cells
     one = rings.agg(F.array_sort(F.collect_list(F.struct("position", "node"))).alias("ring"))
-    found = df.withColumn("__at", place(key)).join(F.broadcast(one), how="cross")
-    edges = F.transform("ring", lambda r: r["position"])
-    index = F.array_size(F.filter(edges, lambda p: p < F.col("__at")))
-    return found.withColumn(into, F.element_at("ring", F.when(index == F.size("ring"), 1).otherwise(index + 1).cast("int"))["node"]).drop("__at", "ring")
+    all_cells = rings.sparkSession.range(cells).select(F.col("id").alias("__cell")).join(F.broadcast(one), how="cross")
+    after = F.filter("ring", lambda r: r["position"] >= F.col("__cell") * width)
+    own = F.filter(after, lambda r: r["position"] < (F.col("__cell") + 1) * width)
+    behind = F.coalesce(F.get(after, F.size(own)), F.element_at("ring", 1))
+    table = all_cells.select("__cell", F.concat(own, F.array(F.struct(F.lit((1 << 60)).alias("position"), behind["node"].alias("node")))).alias("__near"))
+    found = df.withColumn("__at", place(key)).withColumn("__cell", F.expr(f"__at div {width}")).join(F.broadcast(table), "__cell")
+    return found.withColumn(into, F.get(F.filter("__near", lambda r: r["position"] >= F.col("__at")), F.lit(0))["node"]).drop("__at", "__cell", "__near")
 
 
 def replicas(nodes: list[str], primary: Column, copies: int) -> Column:
