@@ -2,15 +2,19 @@
 
 Suffixes are kept at minimiser positions only: of every WINDOW consecutive fingerprints of GRAM words the least is chosen, so
 equal passages of GRAM + WINDOW - 1 words or more choose the same place in each.  Suffixes whose first GRAM words occur
-nowhere else are dropped after one count.  The others, each with REACH words to the right and to the left as fingerprints of
-three bytes, are sorted over the cluster by range; neighbours are compared, and matches extended right and left.  Ranges are
-split between rows, so a passage with any number of copies is spread; rows at range borders meet in a last step.
+nowhere else are dropped after one count.  Of the others, those whose beginning at most GROUP suffixes have, each with REACH
+words to the right and to the left as fingerprints of three bytes, meet by beginning, whole, and are sorted; neighbours are
+compared, and matches extended right and left.
 
 A neighbour is the nearest row of another document on either side; it has the longest match to the right.  Where three or
 more rows begin alike, a farther one may match farther to the left, so all windows of min_words words around those rows are
 compared by fingerprint as well.  A passage longer than REACH is covered by its later suffixes; overlapping spans of a
-document are merged.  So every window of min_words words that another document has is found; only where over GROUP rows
-begin alike are windows compared part by part, beside the neighbours.
+document are merged.
+
+Where more than GROUP suffixes begin alike, the windows whose least place they are leave as (fingerprint, document, start) and
+are counted by fingerprint, which is summed before it moves; so a frequent beginning is spread over tasks by what stands
+around it.  Fingerprints of more than GROUP windows are looked up by broadcast, so that no task has all of their windows.
+Every window of min_words words that another document has is found, whatever the number of partitions.
 
 Defined results: null, empty and short texts have no suffixes; rows that repeat a doc_id count as one document; a null doc_id
 is a document, too; an empty table gives an empty result; extra columns are ignored.
@@ -29,15 +33,16 @@ from vectorloom.llm.scratch import cut, struct
 from vectorloom.llm.textscan import Texts, U, chunks, grams, int64, mix
 
 GRAM, WINDOW, REACH = 8, 43, 50
-GROUP, EDGE = 16384, 512
+GROUP, EDGE = 16384, 512  # EDGE is set by tests only: no beginning is split between partitions
 BYTES = 3 * REACH
 
 
-def minimisers(values: np.ndarray, texts: np.ndarray, window: int) -> np.ndarray:
-    """Indexes of the leftmost least value of each window of a text's values; a text with fewer values has one window."""
+def leasts(values: np.ndarray, texts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the window that begins at each value, the index of its leftmost least, and whether it counts: a window within a
+    text, or the only one of a text with fewer values."""
     n = len(values)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     least = np.arange(n)
 
     def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,7 +57,12 @@ def minimisers(values: np.ndarray, texts: np.ndarray, window: int) -> np.ndarray
         least = better(least, least[other])
         width += step
     first = np.searchsorted(texts, texts)
-    whole = (np.arange(n) + window <= end) | (np.arange(n) == first)
+    return least, (np.arange(n) + window <= end) | (np.arange(n) == first)
+
+
+def minimisers(values: np.ndarray, texts: np.ndarray, window: int) -> np.ndarray:
+    """Indexes of the leftmost least value of each window of a text's values; a text with fewer values has one window."""
+    least, whole = leasts(values, texts, window)
     return np.unique(least[whole])
 
 
@@ -65,7 +75,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = minimisers(found, of[at], WINDOW)
             first = np.searchsorted(of, np.arange(texts.n))
             where = at[own]
-            yield pa.RecordBatch.from_arrays([int64(found[own]), part.column("doc_id").cast(pa.int64()).take(pa.array(of[where])), pa.array((where - first[of[where]]).astype(np.int32))], names=["gram", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([int64(found[own]), part.column("doc_id").cast(pa.int64()).take(pa.array(of[where])), part.column("mark").take(pa.array(of[where])), pa.array((where - first[of[where]]).astype(np.int32))], names=["gram", "doc_id", "mark", "pos"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +110,39 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([fixed(right[s]), fixed(left[s]), part.column("doc_id").cast(pa.int64()).take(pa.array(owner[s])), pa.array(pos[s].astype(np.int32)), pa.array(r[s].astype(np.int32)), pa.array(lf[s].astype(np.int32))], names=["right", "left", "doc_id", "pos", "r", "l"])
 
 
+def _windows(min_words: int, often):
+    """Texts to their windows of min_words words whose least place begins with one of the frequent grams, which are sent sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = often.value
+        for batch in batches:
+            for part in chunks(batch):
+                texts = Texts(part.column("text"))
+                starts, ends, of = texts.words()
+                words = texts.hashes(starts, ends)
+                first = np.searchsorted(of, np.arange(texts.n))
+                found, at = grams(words, of, GRAM)
+                least, _ = leasts(found, of[at], WINDOW)
+                chosen = np.zeros(len(words), bool)
+                chosen[at] = (hot[np.minimum(np.searchsorted(hot, found), len(hot) - 1)] == found)[least]
+                keys, at = grams(words, of, min_words)
+                keys, at = keys[chosen[at]], at[chosen[at]]
+                yield pa.RecordBatch.from_arrays([int64(keys), part.column("doc_id").cast(pa.int64()).take(pa.array(of[at])), int64(at - first[of[at]])], names=["key", "doc_id", "start"])
+
+    return run
+
+
+def _shared(windows: DataFrame, min_words: int) -> DataFrame:
+    """windows(key, doc_id, start) to the spans (doc_id, start, stop, partner) of those that another document has."""
+    none = F.lit(-(2**63)).cast("long")  # stands for a null doc_id, which is a document
+    windows = windows.withColumn("doc", F.coalesce("doc_id", none))
+    keys = cut(windows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high"))
+    often, seldom = F.broadcast(keys.where(F.col("n") > GROUP)), keys.where(F.col("n") <= GROUP)  # of w windows, w / GROUP at most
+    found = windows.join(often, "key").unionByName(windows.join(often.select("key"), "key", "left_anti").join(seldom, "key"))
+    partner = F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.nullif("low", none))
+    return found.select("doc_id", "start", (F.col("start") + min_words).alias("stop"), partner.alias("partner"))
+
+
 ROW = {"right": "binary", "left": "binary", "doc_id": "bigint", "pos": "int", "r": "int", "l": "int"}
 
 
@@ -180,60 +223,32 @@ class _Rows:
         return row[head], self.pos[row[head]] - lead[tail], self.pos[row[head]] - lead[head] + size, partner[head]
 
 
-SPAN = {"kind": "int", "doc_id": "bigint", "start": "bigint", "stop": "bigint", "partner": "bigint"}
+SPAN = {"doc_id": "bigint", "start": "bigint", "stop": "bigint", "partner": "bigint"}
 
 
-def _neighbours(min_words: int, borders: bool):
-    """Spans of sorted rows.  Rows are held until the first GRAM words change, so rows that begin alike are seen together, in
-    parts of GROUP rows where there are more; parts overlap by the last row of the document before.  With borders, up to
-    EDGE rows that begin like the partition's first or last row go out as well, to meet those of the partition beside."""
+def _neighbours(min_words: int):
+    """Spans of sorted rows.  Rows are held until the first GRAM words change, so rows that begin alike are seen together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            for t in _Rows(rows.combine_chunks().to_batches()[0]).spans(min_words).to_batches():
-                none = [pa.nulls(t.num_rows, k) for k in (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(t.num_rows, np.int32)), *t.select(["doc_id", "start", "stop", "partner"]).columns, *none], names=[*SPAN, "right", "left", "pos", "r", "l"])
-
-        def edge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            for b in rows.combine_chunks().to_batches():
-                none = pa.nulls(b.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int32)), b.column("doc_id"), none, none, none, *(b.column(c) for c in ("right", "left", "pos", "r", "l"))], names=[*SPAN, "right", "left", "pos", "r", "l"])
+            yield from _Rows(rows.combine_chunks().to_batches()[0]).spans(min_words).select(list(SPAN)).to_batches()
 
         held: pa.Table | None = None
-        head: bytes | None = None
-        lead: list[pa.Table] = []  # rows that begin like the first
-        alike = True  # all rows so far do
         for batch in batches:
             if not batch.num_rows:
                 continue
             batch = pa.Table.from_batches([batch.select(list(ROW))])
             grams = [x[: 3 * GRAM] for x in batch.column("right").to_pylist()]
-            head = grams[0] if head is None else head
-            same = next((k for k, g in enumerate(grams) if g != head), len(grams)) if alike else 0
-            room = EDGE - sum(t.num_rows for t in lead)
-            if borders and same and room:
-                lead.append(batch.slice(0, min(same, room)))
-            alike = alike and same == len(grams)
-            held = batch if held is None else pa.concat_tables([held, batch])
+            before = held.column("right")[held.num_rows - 1].as_py()[: 3 * GRAM] if held is not None else grams[0]
             last = next((k for k in range(len(grams) - 1, 0, -1) if grams[k - 1] != grams[k]), 0)
-            if last:
+            turn = held is not None and grams[0] != before
+            held = batch if held is None else pa.concat_tables([held, batch])
+            if last or turn:
                 whole = held.num_rows - len(grams) + last
                 yield from found(held.slice(0, whole))
                 held = held.slice(whole)
-            elif held.num_rows >= GROUP:
-                yield from found(held)
-                ids = held.column("doc_id").fill_null(-(2**62)).to_numpy()
-                turns = np.flatnonzero(ids[1:] != ids[:-1])
-                held = held.slice(int(turns[-1]) if len(turns) else held.num_rows - 1)
         if held is not None:
             yield from found(held)
-            if borders:
-                # where one beginning fills a whole partition, its ends are enough: its rows have met each other
-                most = 1 if alike else EDGE
-                grams = [x[: 3 * GRAM] for x in held.column("right").to_pylist()]
-                own = next((len(grams) - 1 - k for k, g in enumerate(reversed(grams)) if g != grams[-1]), -1) + 1
-                yield from edge(pa.concat_tables(lead).slice(0, most))
-                yield from edge(held.slice(max(own, held.num_rows - most)))
 
     return run
 
@@ -243,18 +258,22 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     that are covered by passages of min_words or more found in another document; partner_id: one that has a part of it."""
     if not GRAM + WINDOW - 1 <= min_words <= REACH:
         raise ValueError(f"min_words must be from {GRAM + WINDOW - 1} (shorter passages need not meet a kept suffix) to {REACH}")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    anchors = cut(docs.mapInArrow(_anchors, struct(gram="bigint", doc_id="bigint", pos="int")))
-    known = cut(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))  # AQE can split the join
-    places = anchors.join(known, "gram").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    asked = docs.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.doc_id", "text", "places")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("mark"))
+    anchors = cut(docs.mapInArrow(_anchors, struct(gram="bigint", doc_id="bigint", mark="bigint", pos="int")))
+    known = cut(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))  # AQE can split the join
+    own = anchors.join(known.where(F.col("n") <= GROUP).select("gram"), "gram")
+    # by text as well, so that rows with one doc_id ask for their own places only
+    places = own.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("places"))
+    asked = docs.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.mark") == F.col("p.mark"))).select("d.doc_id", "text", "places")
     rows = asked.mapInArrow(_contexts, struct(**ROW))
-    order = ["right", "left", "doc_id", "pos"]
-    out = struct(**SPAN, right="binary", left="binary", pos="int", r="int", l="int")
-    near = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(min_words, True), out))
-    edges = near.where("kind > 0").select(*ROW).distinct().repartition(F.substring("right", 1, 3 * GRAM)).sortWithinPartitions(*order)
-    edges = edges.mapInArrow(_neighbours(min_words, False), out)
-    spans = near.where("kind = 0").unionByName(edges.where("kind = 0")).select("doc_id", "start", "stop", "partner").distinct()
+    rows = rows.repartition(F.substring("right", 1, 3 * GRAM)).sortWithinPartitions("right", "left", "doc_id", "pos")
+    spans = rows.mapInArrow(_neighbours(min_words), struct(**SPAN))
+    often = known.where(F.col("n") > GROUP).select("gram").toArrow().column("gram").to_numpy()  # of a anchors, a / GROUP at most
+    if len(often):
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(often.view(U)))
+        found = cut(docs.select("doc_id", "text").mapInArrow(_windows(min_words, sent), struct(key="bigint", doc_id="bigint", start="bigint")))
+        spans = spans.unionByName(_shared(found, min_words))
+    spans = spans.distinct()
     own = Window.partitionBy("doc_id").orderBy("start", "stop")
     spans = spans.withColumn("reach", F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("span", F.sum((F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
