@@ -58,3 +58,20 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     assert [r.predicted for r in X.toxicity(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).collect()] == [0, 0]
     assert X.toxicity(docs.limit(0), spark.createDataFrame([], "doc_id bigint, toxic int")).count() == 0
+
+
+def test_any_length_and_place(spark, data):
+    docs, labels = data
+    rng = random.Random(5)
+    spelled = " ".join("thenotionisaridiotidiotmoronotherstorm" * 2)
+    forms = ["mo.ron", "id-iot", "morron", "iddiot", "what a m o r o n", "y o u i d i o t", "m" + "o" * 90 + "ron and id" + "i" * 200 + "ot", spelled]
+    more = [(5000 + k, f"{english(rng, 20)} {w} {english(rng, 5)} {forms[k - 1]} {english(rng, 20)}", "x") for k, w in enumerate(forms)]
+    plain = [(6000, english(rng, 30) + " letter hello all a b c d well-known and/or good", "x")]
+    got = {r.doc_id: r for r in X.toxicity(spark.createDataFrame(docs + more + plain, "doc_id bigint, text string, score string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    assert [got[5000 + k].predicted for k in range(len(forms))] == [1] * len(forms)
+    assert got[6000].predicted == 0 and got[6000].evidence == 0
+
+
+@pytest.mark.parametrize(("text", "odd"), [("a " * 41, 1), ("m" + "o" * 90 + "n", 1), ("mo.ron", 1), ("stuupid", 1), ("дурраки", 1), ("plain words", 0)])
+def test_odd_tokens(text, odd):
+    assert len(X.odd_tokens(X.Texts(pa.array([text]), fold=True))[0]) == odd

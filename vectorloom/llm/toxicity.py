@@ -2,7 +2,8 @@
 
 Channel: a written token is a lattice.  A character stands for itself or, if it is a digit or sign, for the letters that it
 is used for; separators between single letters stand for nothing; a run of one letter stands for one or two of it; single
-letters in a row may be one word.  Viterbi finds the letters that a character trigram model with the channel's costs likes
+letters in a row may be one word, or several: marked words of three letters and more count wherever they stand in such a row.
+Tokens and rows may be of any length.  Viterbi finds the letters that a character trigram model with the channel's costs likes
 best.  The model is counted over the words of all documents, in one pass whose result is bounded by the alphabet cubed, and
 over the words that mark toxic documents, so decoding leans to those where the corpus leaves a choice.
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.scratch import cut, struct
-from vectorloom.llm.textscan import Texts, chunks, int64
+from vectorloom.llm.textscan import SPACE, Texts, chunks, int64
 
 LEXICON, FIT = 2_000, 20_000
 #: What digits and signs are written for.
@@ -106,26 +107,31 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(log: np.ndarray, token: str) -> str:
-    """The letters of the best path through a token's lattice."""
+    """The letters of the best path through a token's lattice, in time in proportion to its length."""
     code = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, said) in best.items():
             for letter, price in options:
                 if letter:
-                    state, total, text = (b, code(letter)), cost + price - log[a, b, code(letter)], said + letter
+                    state, total, path = (b, code(letter)), cost + price - log[a, b, code(letter)], (said, letter)
                 else:
-                    state, total, text = (a, b), cost + price, said
+                    state, total, path = (a, b), cost + price, said
                 if state not in after or after[state][0] > total:
-                    after[state] = (total, text)
+                    after[state] = (total, path)
         best = after
-    return min(((cost - log[a, b, 0], said) for (a, b), (cost, said) in best.items()), default=(0, ""))[1]
+    path = min(((cost - log[a, b, 0], k, said) for k, ((a, b), (cost, said)) in enumerate(best.items())), default=(0, 0, None))[2]
+    out = []
+    while path:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def odd_tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (start, end, text) that may hide a word: letters mixed with signs or separators, three equal letters in a row,
-    or four and more single letters in a row."""
+    """Spans (start, end, text) that may hide a word: letters mixed with signs or separators, two equal letters in a row,
+    or four and more single letters in a row, of any length."""
     raw = texts.bytes
     starts, ends, of = texts.words()
     summed = lambda flags: np.concatenate([[0], np.cumsum(flags)])
@@ -139,11 +145,15 @@ def odd_tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         joined = np.zeros(max(len(raw) - 1, 0), bool)
     beside = np.zeros(len(raw), bool)
     beside[:-1] |= joined
-    three = np.zeros(len(raw), bool)
-    if len(raw) > 2:
-        three[2:] = letter[2:] & (raw[2:] < 0x80) & (raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2])
+    twice = np.zeros(len(raw), bool)  # at the first byte of a letter that the next one repeats
+    for size, low, high in ((1, 0, 0x80), (2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        n = max(len(raw) - 2 * size + 1, 0)
+        same = letter[:n] & (raw[:n] >= low) & (raw[:n] < high)
+        for k in range(size):
+            same &= raw[k : n + k] == raw[size + k : n + size + k]
+        twice[:n] |= same
     letters = count(letter)
-    odd = (letters >= 2) & ((count(inside) >= 2) | (count(three) > 0) | (count(beside) > 0)) & (ends - starts <= 64)
+    odd = (letters >= 2) & ((count(inside) > 0) | (count(twice) > 0) | (count(beside) > 0))
     single = (letters == 1) & (ends - starts <= 2) | (ends - starts == 1) & SIGN[raw[np.minimum(starts, max(len(raw) - 1, 0))]] if len(raw) else np.zeros(0, bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     a, b = edge[::2], edge[1::2]
@@ -152,7 +162,7 @@ def odd_tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k = x
         while k < y:
             e = min(int(np.searchsorted(of, of[k], "right")), y)
-            if 4 <= e - k <= 40:
+            if e - k >= 4:
                 cuts.append((starts[k], ends[e - 1], of[k]))
             k = e
     extra = np.array(cuts, np.int64).reshape(-1, 3)
@@ -169,24 +179,38 @@ def letter_runs(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return texts.hashes(starts, ends), np.searchsorted(texts.off, starts, "right") - 1
 
 
-def restored(texts: Texts, log: np.ndarray, memo: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and texts of the words that odd tokens decode to."""
+def restored(texts: Texts, log: np.ndarray, memo: dict[str, str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and texts of the words that odd tokens decode to; of rows of single letters, which say nothing of where
+    words end, all parts of the sizes given in bytes as well."""
     starts, ends, of = odd_tokens(texts)
-    words, owner = [], []
-    for s, e, t in zip(starts.tolist(), ends.tolist(), of.tolist()):
+    _, at, which = np.unique(texts.hashes(starts, ends), return_index=True, return_inverse=True)
+    said = []
+    for s, e in zip(starts[at].tolist(), ends[at].tolist()):
         token = texts.bytes[s:e].tobytes().decode("utf-8", "replace").rstrip(".,;:?!&%#\"')]}").lstrip("\"'([{&%#")
         token = re.sub(r"[*$@!|+(]{3,}$", "", token)
-        if re.fullmatch(r"(\w) (?:\1 )*\1", token) or token.isalpha() and not re.search(r"(.)\1\1", token):
+        if re.fullmatch(r"(\w) (?:\1 )*\1", token) or token.isalpha() and not re.search(r"(.)\1", token):
+            said.append("")
             continue
-        if token not in memo:
+        word = memo.get(token)
+        if word is None:
+            word = decode(log, token)
             if len(memo) > 100_000:
                 memo.clear()
-            memo[token] = decode(log, token)
-        if memo[token]:
-            words.append(memo[token])
-            owner.append(t)
-    own = Texts(pa.array(words, pa.string()), fold=True)
-    return own.hashes(own.off[:-1], own.off[1:]), np.array(owner, np.int64)
+            if len(token) <= 256:
+                memo[token] = word
+        said.append(word)
+    own = Texts(pa.array(said, pa.string()), fold=True)
+    filled = own.off[1:] > own.off[:-1]
+    keep = filled[which]
+    hashes, owner = [own.hashes(own.off[:-1], own.off[1:])[which][keep]], [of[keep]]
+    spelled = np.array([bool(SPACE[texts.bytes[s:e]].any()) for s, e in zip(starts[at].tolist(), ends[at].tolist())], bool)
+    for k in np.flatnonzero(spelled[which] & keep).tolist():
+        a, b = int(own.off[which[k]]), int(own.off[which[k] + 1])
+        for size in sizes:
+            first = np.arange(a, b - size + 1)
+            hashes.append(own.hashes(first, first + size))
+            owner.append(np.full(len(first), of[k]))
+    return np.concatenate(hashes), np.concatenate(owner)
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +253,7 @@ def learn_words(labelled: DataFrame) -> list[tuple[str, int, float]]:
 
 def _evidence(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, weights, log = sent.value
+        hashes, weights, log, sizes = sent.value
         memo: dict[str, str] = {}
         for batch in batches:
             for part in chunks(batch):
@@ -237,7 +261,7 @@ def _evidence(sent):
                 found = np.zeros(texts.n)
                 if len(hashes):
                     words, of = letter_runs(texts)
-                    more, owner = restored(texts, log, memo)
+                    more, owner = restored(texts, log, memo, sizes)
                     words, of = np.concatenate([words, more]), np.concatenate([of, owner])
                     at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
                     hit = hashes[at] == words
@@ -273,7 +297,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         grams = docs.select("text").mapInArrow(_trigrams, struct(gram="bigint", n="bigint")).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         counts[grams.column("gram").to_numpy()] = grams.column("n").to_numpy()
     order = sorted((h % 2**64, w) for _, h, w in words)
-    sent = spark.sparkContext.broadcast((np.array([h for h, _ in order], np.uint64), np.array([w for _, w in order]), Model(counts, [w for w, _, _ in words]).log))
+    sent = spark.sparkContext.broadcast((np.array([h for h, _ in order], np.uint64), np.array([w for _, w in order]), Model(counts, [w for w, _, _ in words]).log, sorted({len(w.encode()) for w, _, _ in words if len(w) > 2})))
     found = cut(docs.mapInArrow(_evidence(sent), struct(doc_id="bigint", evidence="double")))
     fit = found.join(marks, "doc_id").select("evidence", "toxic").orderBy("evidence", "toxic").toArrow()
     x, y = fit.column("evidence").to_numpy(), fit.column("toxic").to_numpy().astype(float)
