@@ -73,3 +73,24 @@ def test_stage_form(spark):
     df = spark.createDataFrame([(1, TEXT, "__found"), (1, TEXT, "__found"), (None, None, None)], "doc_id bigint, text string, extra string")
     out = pii.replace(df, "key")
     assert out.columns == df.columns and out.count() == 3 and out.where(F.contains("text", F.lit("Ann.Lee7"))).count() == 0
+
+
+def test_upper_case_secrets_and_international_phones(spark):
+    secret = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 (30) 123456", "+442079460958"]
+    got = run(spark, [f'TOKEN = "{secret}"!! and {secret.lower()}, {secret[:20]}{secret[20:].lower()}', *(f"Call {p}, please." for p in phones), "1+2 is 3, +12 345 stays"])
+    upper, lower, mixed = (f.surrogate for f in got[0].found)
+    assert [f.kind for f in got[0].found] == ["secret"] * 3 and secret not in got[0].text
+    assert re.fullmatch("[0-9A-F]{40}", upper) and upper.lower() == lower == mixed
+    for k, p in enumerate(phones, 1):
+        (f,) = got[k].found
+        assert f.kind == "phone" and f.text == p != f.surrogate and re.sub(r"\d", "0", p) == re.sub(r"\d", "0", f.surrogate)
+        assert got[k].text == f"Call {f.surrogate}, please."
+    assert re.sub(r"\D", "", got[1].found[0].surrogate) == re.sub(r"\D", "", got[4].found[0].surrogate)
+    assert got[5].n_entities == 0
+
+
+def test_planted_upper_case_tokens(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id = 2514").select("text").collect()
+    tokens = [t for r in rows for t in re.findall("(?<![A-Za-z0-9])[0-9A-F]{32,}(?![A-Za-z0-9])", r.text)]
+    assert tokens and all(t not in r.text for r in run(spark, [r.text for r in rows]).values() for t in tokens)

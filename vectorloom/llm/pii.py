@@ -29,10 +29,10 @@ NAME = r"[ \u00A0]\p{Lu}\p{Ll}++(?:[ \u00A0]\p{Lu}\p{Ll}++)?"
 TYPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){6,12})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{32,}+(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,}+(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE})\.?{NAME}",
 }
@@ -93,8 +93,8 @@ class Surrogates:
         digits = F.regexp_replace(e, r"\D", "")
         ip = F.array_join(F.transform(F.split(e, r"\."), lambda o: o.cast("int").cast("string")), ".")
         return (
-            F.when(kind == "email", F.lower(e)).when(kind == "ip", ip)
-            .when(kind.isin("ssn", "card"), digits).when(kind == "phone", F.concat(F.left(F.lpad(digits, 13, "0"), F.lit(3)), F.right(digits, F.lit(10))))
+            F.when(kind.isin("email", "secret"), F.lower(e)).when(kind == "ip", ip)
+            .when(kind.isin("ssn", "card"), digits).when((kind == "phone") & (F.length(digits) > 13), digits).when(kind == "phone", F.concat(F.left(F.lpad(digits, 13, "0"), F.lit(3)), F.right(digits, F.lit(10))))
             .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
         )
 
@@ -127,6 +127,7 @@ class Surrogates:
         domain = F.substring_index(canon, "@", -1)
         email = F.concat(self.letters(h), F.lit("@"), F.substring(self.hashed("domain", domain, 0), 1, self.chars), F.lit(".example"))
         secret = F.left(F.repeat(F.concat(h, self.hashed("more", canon, attempt)), F.ceil(F.length(e) / 128).cast("int")), F.length(e))
+        secret = F.when(e.rlike("[A-F]") & ~e.rlike("[a-f]"), F.upper(secret)).otherwise(secret)
         iban = F.upper(F.concat(F.left(canon, F.lit(2)), F.translate(F.substring(h, 1, 2), "abcdef", "012345"), F.left(F.substring(h, 3, 62), F.length(canon) - 4)))
         return (
             F.when(kind == "email", email).when(kind == "ip", self.address(e))
