@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vectorloom.plans.scratch import clear, cut, shared_dir
+from vectorloom.plans.scratch import clear, cut, shared_dir, small_batches
 
-__all__ = ["clear", "cut", "shared_dir", "struct", "table"]
+__all__ = ["clear", "cut", "shared_dir", "small_batches", "struct", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

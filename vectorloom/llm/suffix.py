@@ -3,8 +3,9 @@
 Suffixes are kept at minimiser positions only: of every WINDOW consecutive fingerprints of GRAM words the least is chosen, so
 equal passages of GRAM + WINDOW - 1 words or more choose the same place in each.  Suffixes whose first GRAM words occur
 nowhere else are dropped after one count.  Of the others, those whose beginning at most GROUP suffixes have, each with REACH
-words to the right and to the left as fingerprints of three bytes, meet by beginning, whole, and are sorted; neighbours are
-compared, and matches extended right and left.
+words to the right and BACK to the left as fingerprints of WIDTH bytes, meet by beginning, whole, and are sorted; neighbours
+are compared, and matches extended right and left.  Nothing equal is lost; a word that differs is taken for equal, at an end
+of a passage that two documents do share, with probability 2**-32.
 
 A neighbour is the nearest row of another document on either side; it has the longest match to the right.  Where three or
 more rows begin alike, a farther one may match farther to the left, so all windows of min_words words around those rows are
@@ -33,8 +34,8 @@ from vectorloom.llm.scratch import cut, struct
 from vectorloom.llm.textscan import Texts, U, chunks, grams, int64, mix
 
 GRAM, WINDOW, REACH = 8, 43, 50
-GROUP, EDGE = 16384, 512  # EDGE is set by tests only: no beginning is split between partitions
-BYTES = 3 * REACH
+BACK, WIDTH = WINDOW - 1, 4  # a window has its least place at most BACK words from its start
+GROUP = 16384
 
 
 def leasts(values: np.ndarray, texts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,19 +95,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pos, owner = lists[fit], owner[fit]
             if not len(pos):
                 continue
-            coded = np.ascontiguousarray((words >> U(40)).astype(">u4")).view(np.uint8).reshape(-1, 4)[:, 1:]
+            coded = (words >> U(32)).astype(">u4")
             sides = []
-            for step, lead in ((1, 0), (-1, 1)):
-                k = pos[:, None] + step * (np.arange(REACH)[None, :] + lead)
+            for step, lead, reach in ((1, 0, REACH), (-1, 1, BACK)):
+                k = pos[:, None] + step * (np.arange(reach)[None, :] + lead)
                 there = (k >= 0) & (k < count[owner][:, None])
                 side = coded[np.where(there, k + first[owner][:, None], 0)]
                 side[~there] = 0
-                room = there.sum(1)
-                sides.append((side.reshape(len(pos), BYTES), room))
+                sides.append((side, there.sum(1)))
             (right, r), (left, lf) = sides
             for k in range(0, len(pos), 4096):
                 s = slice(k, k + 4096)
-                fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(BYTES), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+                fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH * x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([fixed(right[s]), fixed(left[s]), part.column("doc_id").cast(pa.int64()).take(pa.array(owner[s])), pa.array(pos[s].astype(np.int32)), pa.array(r[s].astype(np.int32)), pa.array(lf[s].astype(np.int32))], names=["right", "left", "doc_id", "pos", "r", "l"])
 
 
@@ -150,8 +150,8 @@ class _Rows:
     """Sorted suffixes as arrays."""
 
     def __init__(self, batch: pa.RecordBatch):
-        side = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REACH, 3)
-        self.right, self.left = side("right"), side("left")
+        side = lambda c, reach: np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").astype(np.uint32).reshape(-1, reach)
+        self.right, self.left = side("right", REACH), side("left", BACK)
         ids = batch.column("doc_id")
         self.null = np.asarray(ids.is_null())
         self.doc = np.asarray(ids.fill_null(0))
@@ -169,7 +169,7 @@ class _Rows:
         keep = []
         for k in range(0, len(i), 8192):
             a, b = i[k : k + 8192], j[k : k + 8192]
-            same = lambda x, room: np.minimum(np.append((x[a] == x[b]).all(2), np.zeros((len(a), 1), bool), 1).argmin(1), np.minimum(room[a], room[b]))
+            same = lambda x, room: np.minimum(np.append(x[a] == x[b], np.zeros((len(a), 1), bool), 1).argmin(1), np.minimum(room[a], room[b]))
             right, left = same(self.right, self.r), same(self.left, self.l)
             hit = right + left >= min_words
             keep.append(np.stack([a[hit], b[hit], right[hit], left[hit]]))
@@ -187,22 +187,21 @@ class _Rows:
         """For suffixes of three or more rows that begin alike, where the nearest neighbour need not be the one that matches
         farthest to the left: all windows of `size` words at a row, from none to WINDOW - 1 words before it, that a row of
         another document has as well.  As (row, start, stop, row of a partner), neighbouring windows joined."""
-        gram = self.right[:, :GRAM].reshape(len(self.doc), -1)
+        gram = self.right[:, :GRAM]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]).any(1)
         group = np.cumsum(new) - 1
         rows = np.flatnonzero(np.bincount(group)[group] > 2)
         if not len(rows):
             return (np.zeros(0, np.int64),) * 4
-        code = lambda x: x[rows].astype(U) @ np.array([1 << 16, 1 << 8, 1], U)
         prefix = []
-        for x in (code(self.right), code(self.left)):
-            x = mix(x + U(1))
-            total = np.zeros((len(rows), REACH + 1), U)
-            for k in range(REACH):
+        for x in (self.right, self.left):
+            x = mix(x[rows].astype(U) + U(1))
+            total = np.zeros((len(rows), x.shape[1] + 1), U)
+            for k in range(x.shape[1]):
                 total[:, k + 1] = total[:, k] * U(0xD1342543DE82EF95) + x[:, k]
             prefix.append(total)
-        before = np.arange(min(WINDOW, REACH + 1))
+        before = np.arange(BACK + 1)
         keys = mix(prefix[1][:, before] * U(0x9E3779B97F4A7C15) + prefix[0][:, size - before] + before.astype(U))
         fits = (self.l[rows][:, None] >= before) & (self.r[rows][:, None] >= size - before)
         row, lead = np.nonzero(fits)
@@ -238,8 +237,8 @@ def _neighbours(min_words: int):
             if not batch.num_rows:
                 continue
             batch = pa.Table.from_batches([batch.select(list(ROW))])
-            grams = [x[: 3 * GRAM] for x in batch.column("right").to_pylist()]
-            before = held.column("right")[held.num_rows - 1].as_py()[: 3 * GRAM] if held is not None else grams[0]
+            grams = [x[: WIDTH * GRAM] for x in batch.column("right").to_pylist()]
+            before = held.column("right")[held.num_rows - 1].as_py()[: WIDTH * GRAM] if held is not None else grams[0]
             last = next((k for k in range(len(grams) - 1, 0, -1) if grams[k - 1] != grams[k]), 0)
             turn = held is not None and grams[0] != before
             held = batch if held is None else pa.concat_tables([held, batch])
@@ -266,7 +265,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     places = own.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("places"))
     asked = docs.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.mark") == F.col("p.mark"))).select("d.doc_id", "text", "places")
     rows = asked.mapInArrow(_contexts, struct(**ROW))
-    rows = rows.repartition(F.substring("right", 1, 3 * GRAM)).sortWithinPartitions("right", "left", "doc_id", "pos")
+    rows = rows.repartition(F.substring("right", 1, WIDTH * GRAM)).sortWithinPartitions("right", "left", "doc_id", "pos")
     spans = rows.mapInArrow(_neighbours(min_words), struct(**SPAN))
     often = known.where(F.col("n") > GROUP).select("gram").toArrow().column("gram").to_numpy()  # of a anchors, a / GROUP at most
     if len(often):

@@ -22,7 +22,7 @@ _BACK = pow(_BASE, -1, 2**64)
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _powers = [np.ones(1, U), np.ones(1, U)]
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
