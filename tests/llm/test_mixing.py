@@ -62,3 +62,32 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
     assert [r.target for r in mixing.plan(spark.createDataFrame([(1, "", "a", "")], SCHEMA)).collect()] == [0.0]
+
+
+def test_names_that_the_operator_uses(spark):
+    df = spark.createDataFrame(rows(), SCHEMA).withColumns({c: F.lit(k) for k, c in enumerate(("id", "mark", "copies", "n", "copy", "c0_", "__copies", "__id", "key", "target"))})
+    out = mixing.mix(df)
+    assert out.columns == df.columns and out.count() == mixing.plan(df).agg(F.sum("copies")).first()[0]
+
+
+def test_one_offset_by_hand(spark, monkeypatch):
+    """Every document in its place along its source, one after another, with slices of any width."""
+    import hashlib
+    from math import floor
+
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    data = rows(9) + [(7, prose(random.Random(k), 4), "a", "same id") for k in range(50)] + [(None, f"no id {k}", "a", None) for k in range(50)]
+    klass = lambda n: n if n < 8 else n.bit_length() * 8 + (n >> n.bit_length() - 4) % 8
+    sizes = {}
+    for _, t, s, _ in data:
+        sizes[s] = sizes.get(s, 0) + len(words(t))
+    aims, want = water(sizes), []
+    for s in sizes:
+        own = sorted((klass(len(words(t))), md5(f"{'' if i is None else i}:{md5(t or '')}"), -1 if i is None else i, len(words(t)), t or "") for i, t, x, _ in data if x == s)
+        each, at = aims[s] / sizes[s] if sizes[s] else 0.0, int(md5(f"mix:{s or ''}")[:8], 16) / 2**32
+        for k, (_, _, i, n, t) in enumerate(own):
+            want.append((i, s, n, floor((k + 1) * each + at) - floor(k * each + at) if n else 0))
+    for width in (4096, 2):
+        monkeypatch.setattr(mixing, "SLICE", width)
+        got = mixing.plan(spark.createDataFrame(data, SCHEMA)).collect()
+        assert sorted(map(str, want)) == sorted(str((-1 if r.doc_id is None else r.doc_id, r.source, r.size, r.copies)) for r in got)

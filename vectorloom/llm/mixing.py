@@ -5,14 +5,17 @@ Targets: sources in code point order (null last) weigh 5, 2, 1 and so on, and sh
 min(3 * source_size, weight * level) with one level for all, found from sums over the sources in order of 3 * size / weight.
 
 Sampling: all documents of a source expect target / source_size copies.  Along the source's documents in order of size class
-(8 classes per doubling) and then of md5(doc_id), expected copies are prefix-summed from one offset, and a document is emitted
-once for each integer passed.  Size order makes the words taken follow the target closely; the offset is a random one, shifted
-by the multiple of 1 / SHIFTS that brings them nearest, which matters to sources of a few documents.  Positions come from
-counts at three levels (size class, slice of the md5, row within the slice), so no task orders a whole source.
-
-Defined results: a null or word-free text has size 0 and takes 0 words; a source without words has target 0; a null doc_id
-sorts as the text ""; repeated rows are documents of their own, with the same multiset of results at each run; an empty
-table gives an empty result.  Extra columns are ignored.
+(8 classes per doubling) and then of md5(doc_id), expected copies are prefix-summed from one random offset, seeded by the
+source's name, and a document is emitted once for each integer passed.  So a document has its expected copies on average, and
+size order makes the words taken follow the target closely; a source of a few documents may be off by about its largest.
+Positions come from counts at three levels (size class, slice of the key, row within the slice), so no task orders a whole
+source.  The key is md5(doc_id) followed by a hash of the text, so rows that share a doc_id, or have none, spread over slices;
+a slice is as many of the key's first digits as leave about SLICE rows of the largest class in each.
+
+Defined results: a null or word-free text has size 0 and takes 0 words; a source without words has target 0; a null source is
+a source, the last; a null doc_id is a doc_id of its own; repeated rows are documents of their own, with the same multiset of
+results at each run; an empty table gives an empty result.  Extra columns are ignored by `plan` and kept by `mix`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.scratch import cut
+from vectorloom.llm.scratch import cut, positional
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-SHIFTS = 16
+SLICE = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,18 +57,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return own.select("source", "source_size", F.when(free, F.col("weight") * F.col("settled.level")).otherwise(F.col("most")).cast("double").alias("target"))
 
 
-def plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """docs(doc_id, text, source, ...) to (doc_id, source, size, source_size, target, copies), a row for each row of docs."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words(F.col("text")).alias("size"), key.alias("key"))
-    sized = cut(sized.withColumn("class", size_class(F.col("size"))).withColumn("slice", F.substring("key", 1, 2)))
+def mark(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def planned(docs: DataFrame, seed: str) -> DataFrame:
+    """docs(doc_id, text, source) to (doc_id, mark, source, size, source_size, target, copies), a row for each row of docs."""
+    sized = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words(F.col("text")).alias("size"), mark(F.col("text")).alias("mark"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mark").cast("binary"))
+    sized = cut(sized.withColumn("key", key).withColumn("class", size_class(F.col("size"))))
+    counted = cut(sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    digits, most = 1, counted.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    while most > SLICE * 16**digits:
+        digits += 1
+    sized = sized.withColumn("slice", F.substring("key", 1, digits))
     groups = ["source", "class", "slice"]
-    slices = sized.groupBy(*groups).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    classes = slices.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     before = lambda own, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*own).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    aims = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
-    classes = classes.withColumn("classes_before", before(["source"], "class")).drop("n", "words").alias("c")
-    slices = slices.withColumn("slices_before", before(["source", "class"], "slice")).drop("n", "words").alias("s")
+    aims = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size")))
+    classes = counted.withColumn("classes_before", before(["source"], "class")).drop("n", "words").alias("c")
+    slices = sized.groupBy(*groups).agg(F.count("*").alias("n")).withColumn("slices_before", before(["source", "class"], "slice")).drop("n").alias("s")
     same = lambda a, b, names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
     offsets = slices.join(classes, same("s", "c", ["source", "class"])).join(aims.alias("t"), same("s", "t", ["source"]))
     offsets = offsets.select("s.source", "s.class", "s.slice", (F.col("classes_before") + F.col("slices_before")).alias("before"), "source_size", "target")
@@ -73,32 +83,28 @@ def plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
     placed = sized.withColumn("row", row).alias("d").join(offsets.alias("o"), same("d", "o", groups))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("d.source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    placed = cut(placed.select("d.doc_id", "d.source", "size", "source_size", "target", each.alias("each"), start.alias("start"), (F.col("before") + F.col("row")).alias("place")))
+    passed = lambda k: F.floor(k * each + start)
+    place = F.col("before") + F.col("row")
+    copies = F.when(F.col("size") > 0, passed(place) - passed(place - 1)).otherwise(0).cast("long")
+    return placed.select("d.doc_id", "mark", "d.source", "size", "source_size", "target", copies.alias("copies"))
 
-    def copies(shift: Column) -> Column:
-        passed = lambda k: F.floor(k * F.col("each") + F.col("start") + shift)
-        return F.when(F.col("size") > 0, passed(F.col("place")) - passed(F.col("place") - 1)).otherwise(0)
 
-    shifts = [F.lit(k / SHIFTS) for k in range(SHIFTS)]
-    tried = placed.groupBy("source").agg(F.any_value("target").alias("target"), *(F.sum(F.col("size") * copies(x)).alias(f"t{k}") for k, x in enumerate(shifts)))
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), x.alias("shift")) for k, x in enumerate(shifts))))
-    tried = cut(tried.select("source", nearest["shift"].alias("shift")))
-    out = placed.alias("p").join(tried.alias("t"), same("p", "t", ["source"]))
-    return out.select("p.doc_id", "p.source", "size", "source_size", "target", copies(F.col("shift")).cast("long").alias("copies"))
+def plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """docs(doc_id, text, source, ...) to (doc_id, source, size, source_size, target, copies), a row for each row of docs."""
+    return planned(docs, seed).drop("mark")
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with docs' columns.  Rows without words are taken never."""
-    taken = plan(docs, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    twins = taken.groupBy("__id", "__source", "__size").agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__rows"))
-    # rows alike in id, source and size are interchangeable; nearly always there is one, and shares differ by one at most
-    names = {c.lower(): c for c in docs.columns}
-    row = Window.partitionBy("__id", "__source", "__size").orderBy("__key")
-    own = docs.withColumns({"__id": F.col(names["doc_id"]), "__source": F.col(names["source"]), "__size": words(F.col(names["text"]))})
-    hit = own.alias("a").join(twins.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__id", "__source", "__size")])
-    hit = hit.select("a.*", "__copies", "__rows")
-    one = hit.where("__rows = 1").withColumn("__n", F.col("__copies"))
-    several = hit.where("__rows > 1").withColumn("__key", F.xxhash64(names["text"])).withColumn("__row", F.row_number().over(row)).drop("__key")
-    several = several.withColumn("__n", F.expr("(__copies * __row) div __rows - (__copies * (__row - 1)) div __rows")).drop("__row")
-    out = one.unionByName(several).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__n"), F.lit(1)).cast("int")))).where("__n > 0")
-    return out.select(*(F.col(c) for c in docs.columns))
+    """The rows of docs, each as often as the mix takes it, with docs' columns.  Rows without words are taken never.  Rows
+    alike in doc_id, text and source share their copies evenly, and one of them has what is left over."""
+    own, names = positional(docs)
+    columns, text = own.columns, F.col(names["text"])
+    own = own.withColumns({"id": F.col(names["doc_id"]), "source": F.col(names["source"]), "mark": mark(text)})
+    taken = planned(own.select(F.col("id").alias("doc_id"), text.alias("text"), "source"), seed).where("size > 0")
+    twins = taken.groupBy(F.col("doc_id").alias("id"), "source", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    keys = ["id", "source", "mark"]
+    hit = own.alias("a").join(twins.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]).select("a.*", "copies", "n")
+    shared = hit.withColumn("copies", F.expr("copies div n"))
+    rest = hit.where("copies % n > 0").dropDuplicates(keys).withColumn("copies", F.expr("copies % n"))
+    out = shared.where("copies > 0").unionByName(rest).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(columns, docs.columns)))

@@ -140,7 +140,7 @@ FROM c GROUP BY conv_id
 """
 
 ORACLE["op5_mix"] = f"""
-WITH d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 k AS (SELECT *, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)) % 8 END AS class FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY 1),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight, source_size * 3 AS most FROM s),
@@ -153,10 +153,7 @@ t AS (SELECT source, source_size, CASE WHEN ratio >= r0 THEN weight * l0 ELSE mo
 p AS (SELECT k.doc_id, k.source, size, source_size, target, row_number() OVER (PARTITION BY k.source ORDER BY class, key, k.doc_id, size) AS place,
              CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each, ('0x' || substr(md5('mix:' || coalesce(k.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-h AS (SELECT source, j / 16 AS shift, abs(sum(CASE WHEN size > 0 THEN size * (floor(place * each + start + j / 16) - floor((place - 1) * each + start + j / 16)) ELSE 0 END) - any_value(target)) AS off
-      FROM p, range(16) r(j) GROUP BY source, j),
-b AS (SELECT source, arg_min(shift, (off, shift)) AS shift FROM h GROUP BY source),
-n AS (SELECT p.*, CASE WHEN size > 0 THEN (floor(place * each + start + shift) - floor((place - 1) * each + start + shift))::BIGINT ELSE 0 END AS copies FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source)
+n AS (SELECT *, CASE WHEN size > 0 THEN (floor(place * each + start) - floor((place - 1) * each + start))::BIGINT ELSE 0 END AS copies FROM p)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM n
 """
 
