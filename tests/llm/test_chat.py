@@ -35,3 +35,8 @@ def test_empty_and_long(spark):
     assert run(spark, []) == {}
     got = run(spark, [(1, 0, "message", 0, "assistant", "<" * 100_000, "z")], EVENTS + ", turns string")[1]
     assert got.loss == "<" * 100_000
+
+
+def test_other_kinds_are_left_out(spark):
+    rows = [(1, 1, "message", 0, "user", "a"), (1, 2, "bogus", 0, "user", "b"), (1, 3, None, 0, "user", "c"), (1, 4, "delta", 0, None, "d"), (2, 1, "bogus", 0, "user", "x")]
+    assert {k: [(t.role, t.text) for t in r.turns] for k, r in run(spark, rows).items()} == {1: [("user", "ad")]}

@@ -9,7 +9,9 @@ Template: "<turn role=ROLE>\\nTEXT</turn>\\n" per message.  Text has & and < wri
 can occur in it; roles have > and line ends written so as well.  Loss spans are code point ranges of assistant text.
 
 Defined results: null text or role is empty; a null seq or msg sorts first; a null conv_id is a conversation; a delta
-without an opening starts an empty message of role ""; an empty log gives no conversations.  Extra columns are ignored.
+without an opening starts an empty message of role ""; events of any other kind, or none, are left out, so a conversation of
+only such gives no row; repeated events are folded as often as they stand; an empty log gives no conversations.  Extra columns
+are ignored.  A conversation is one row of the result, so its events meet in one task; their number isn't limited.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+KINDS = ("message", "delta", "edit", "regenerate")
 OPEN, BODY, CLOSE = "<turn role=", ">\n", "</turn>\n"
 
 
@@ -37,6 +40,7 @@ def unescape(c: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """An event log to (conv_id, turns: array of (role, text)), a row for each conversation."""
     item = F.struct(F.col("seq"), F.col("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    events = events.where(F.col("kind").isin(*KINDS))
     log = events.groupBy("conv_id", "msg").agg(F.sort_array(F.collect_list(item)).alias("log"))
     opens = F.filter(F.sequence(F.lit(1), F.size("log")), lambda k: (F.element_at("log", k)["kind"] == "message") | (k == 1))
     log = log.withColumn("opens", opens)
