@@ -8,7 +8,8 @@ Rules come as text: "allow example.org/es/" (a host, all its subdomains, and a s
 ^spam-farm^", in which ^ is a separator (any character but a-z, 0-9 after folding, or an end) and * anything.  Host-path
 rules go before patterns; among them the longest wins, then a block, then text order.  Urls that nothing fits are allowed.
 
-Defined results: a null url, or one without "://", has an empty host and path and is allowed; repeated rows each get a row;
+Defined results: a null url has an empty host and path and is allowed; one without "://" has an empty host and path as well,
+so no host-path rule fits it, but patterns run over the whole url and may block it; repeated rows each get a row;
 extra columns are ignored.  At most MAX_RULES rules are taken, which bounds the index that is broadcast.
 """
 
