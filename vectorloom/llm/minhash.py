@@ -5,13 +5,17 @@ minhash values of LEFT + RIGHT bands only: 60 values feed 100 tables of six valu
 600.  A pair shares a table with probability 0.9985 at a similarity of 0.8, 0.9998 at 0.85 and above 0.99999 at 0.9.
 
 Steps: fingerprint every document's shingle set and collapse equal sets exactly; find bands that two sets share, and from
-those the shared tables; join the sets that a table holds to its least member (a star, never all pairs); take the connected
-groups; inside each group confirm links on full sets, block against block, passing only a spanning forest on; and take
-connected components of the confirmed links.  No bucket is capped: a group of any size is covered by pairs of blocks.
+those the shared tables.  A table is a bucket of sets, candidates for each other, and is verified on full sets as a star: its
+least set, the hub, against those others that aren't connected to it yet.  Confirmed links alone connect; a hub that has met
+all others leaves its bucket, and a bucket whose sets are all connected is done.  After STARS rounds with other hubs, nearly
+every bucket is; what is left is compared block against block, passing only a spanning forest on.  So an accidental candidate
+costs one comparison and joins nothing, a group of n near copies costs about n comparisons, and no bucket is capped.  The
+components of the confirmed links are the result.
 
 Defined results: a null or word-free text has an empty set, n_shingles 0, and is its own component; with fewer words than
-shingle the whole sequence is the one shingle; repeated rows each get a row; a null doc_id never is a component_id unless
-all documents of the component have none.  Extra columns are ignored.  An empty table gives an empty result.
+shingle the whole sequence is the one shingle; repeated rows each get a row; a null doc_id links like any other but never is
+a component_id unless all documents of the component have none.  Extra columns are ignored.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.graph import components
-from vectorloom.llm.scratch import cut, struct
+from vectorloom.llm.scratch import cut, positional, struct
 from vectorloom.llm.textscan import Texts, U, chunks, grams, int64, mix
 
 LEFT, RIGHT, ROWS = 10, 10, 3
 BANDS = LEFT + RIGHT
-BLOCK = 1024
+BLOCK, STARS = 1024, 3
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -86,7 +90,7 @@ def band_values(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _sign(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +100,7 @@ def _sign(n: int):
                 bands = band_values(values, off)
                 full = off[1:] > off[:-1]
                 at = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(off)), pa.array(set_digests(values, off), pa.binary()), pa.ListArray.from_arrays(pa.array(at), int64(bands.ravel()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("mark"), pa.array(np.diff(off)), pa.array(set_digests(values, off), pa.binary()), pa.ListArray.from_arrays(pa.array(at), int64(bands.ravel()))], schema=schema)
 
     return run
 
@@ -140,21 +144,34 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _expand(n: int):
-    """Candidate texts to their sets, one copy for each pair of blocks that the set has part in."""
-    schema = pa.schema([("task", pa.binary()), ("node", pa.binary()), ("items", pa.binary())])
+def _sets(n: int):
+    """Texts of nodes to their sets."""
+    schema = pa.schema([("node", pa.binary()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 values, off = shingle_sets(Texts(part.column("text"), fold=True), n)
-                rows = []
-                for k, (node, found, root, blocks) in enumerate(zip(part.column("node").to_pylist(), set_digests(values, off), part.column("root").to_pylist(), part.column("blocks").to_pylist())):
-                    if node == found:
-                        items, own = values[off[k] : off[k + 1]].tobytes(), int.from_bytes(node[:4], "little") % blocks
-                        rows += [(root + b"%d,%d" % (min(own, x), max(own, x)), node, items) for x in range(blocks)]
-                for k in range(0, len(rows), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows[k : k + 512])], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("node").cast(pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(off, off[1:])], pa.binary())], schema=schema)
+
+    return run
+
+
+def _links(percent: int):
+    """Pairs with both sets to the pairs that are linked."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("items"), batch.column("hub_items")):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if 100 * len(x) >= percent * len(y) else 0
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            own = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([own.column("node").cast(pa.binary()), own.column("hub").cast(pa.binary())], schema=schema)
 
     return run
 
@@ -183,38 +200,88 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> DataFrame:
-    """docs(doc_id, text, ...) to (doc_id, n_shingles, component_id, kept, node), a row for each row of docs.  node is the
-    128-bit identity of the shingle set, null where that is empty."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_sign(shingle), struct(doc_id="bigint", n_shingles="bigint", node="binary", bands="array<bigint>")))
-    own = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"))
+def _verified(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """buckets(key, node): candidates of each table; sets(node, items) to links(a, b) that connect all that are linked within
+    a bucket."""
+    links = None
+    for turn in range(STARS):
+        placed = buckets
+        if links is not None:
+            roots = components(links)
+            placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+            placed = cut(placed.join(apart, "key"))
+            if not placed.limit(1).count():
+                return links
+        else:
+            placed = placed.withColumn("root", F.col("node"))
+        # the first hub is the least of all nodes, so that few pairs are asked for; later ones differ from table to table
+        order = F.col("node") if not turn else F.sha1(F.concat("node", F.col("key").cast("string").cast("binary")))
+        hubs = placed.groupBy("key").agg(F.min(F.struct(order.alias("turn"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("h")).select("key", "h.hub", "h.hub_root")
+        asked = placed.join(hubs, "key").where("node <> hub")
+        pairs = asked.where("root <> hub_root").select("node", "hub").distinct()
+        both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
+        found = cut(both.mapInArrow(_links(percent), struct(a="binary", b="binary")))
+        links = found if links is None else cut(links.unionByName(found))
+        buckets = cut(asked.select("key", "node"))
+    roots = components(links)
+    placed = cut(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub")).where("low <> high").select("key", "hub")
+    groups = cut(components(placed.join(apart, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
+    if not groups.limit(1).count():
+        return links
+    sized = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root").join(sets, "node")
+    own = F.pmod(F.crc32("node"), F.col("blocks")).cast("int")
+    tasks = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.concat("root", F.concat_ws(",", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).cast("binary"))
+    tasks = tasks.select(task.alias("task"), "node", "items")
+    return links.unionByName(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), struct(a="binary", b="binary")))
+
+
+def grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """docs(doc_id, text) to (doc_id, mark, n_shingles, node, root, component): mark is a hash of the text, node the 128-bit
+    identity of the shingle set, root that of its component, component the least doc_id of that.  A row for each of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("mark"))
+    signed = cut(docs.mapInArrow(_sign(shingle), struct(doc_id="bigint", mark="bigint", n_shingles="bigint", node="binary", bands="array<bigint>")))
+    own = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("row"), F.any_value("bands").alias("bands"))
     own = cut(own)
     bands = own.select("node", F.posexplode("bands").alias("slot", "band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     shared = bands.join(shared, "band").groupBy("node").agg(F.collect_list(F.struct("slot", "band")).alias("shared"))
     keys = cut(shared.mapInArrow(_tables, struct(key="bigint", node="binary")))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    groups = components(keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    groups = cut(groups)
-    sized = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root")
-    asked = sized.join(own.select("node", "least"), "node").select(F.col("least").alias("doc_id"), "node", "root", "blocks")
-    tasks = docs.join(asked, "doc_id").select("text", "node", "root", "blocks").mapInArrow(_expand(shingle), struct(task="binary", node="binary", items="binary"))
-    links = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), struct(a="binary", b="binary"))
-    found = components(links)
+    several = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    buckets = cut(keys.join(several, "key"))
+    asked = own.join(buckets.select("node").distinct(), "node").select(F.col("row.doc_id").alias("of"), F.col("row.mark").alias("as"), "node")
+    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("as"))).dropDuplicates(["node"])
+    sets = cut(texts.select("node", "text").mapInArrow(_sets(shingle), struct(node="binary", items="binary")))
+    found = components(_verified(buckets, sets, percent))
     named = found.join(own.select("node", "least"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    whole = own.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "root", "component")
+    whole = own.select("node", "least").join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component", "least").alias("component"))
     whole = cut(whole)  # so that the join below stands between plain exchanges, and AQE can split a set with many copies
-    out = signed.select("doc_id", "n_shingles", "node").join(whole, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+    return signed.select("doc_id", "mark", "n_shingles", "node").join(whole, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> DataFrame:
+    """docs(doc_id, text, ...) to (doc_id, n_shingles, component_id, kept, node), a row for each row of docs.  node is the
+    128-bit identity of the shingle set, null where that is empty."""
+    out = grouped(docs, shingle, percent).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 85) -> DataFrame:
-    """The rows of docs that stay, with docs' columns: of each component the row with the least doc_id (of rows that repeat
-    a doc_id, one); rows without doc_id or without words all stay."""
-    stay = near_duplicates(docs, shingle, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    name = next(c for c in docs.columns if c.lower() == "doc_id")
-    one = docs.join(stay, F.col(name) == F.col("__id")).drop("__id").dropDuplicates([name])
-    return one.unionByName(docs.where(F.col(name).isNull()))
+    """The rows of docs that stay, with docs' columns, whatever their names: of each component one row, that with the least
+    doc_id, null last, and of those the one with the least hash of its text; rows without words all stay.  Rows that share a
+    doc_id but not their text are documents of their own."""
+    own, names = positional(docs)
+    columns, doc_id, text = own.columns, F.col(names["doc_id"]), F.col(names["text"])
+    marked = cut(grouped(own.select(doc_id.alias("doc_id"), text.alias("text")), shingle, percent).select("doc_id", "mark", "root"))
+    first = marked.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("row"))
+    first = first.select(F.col("row.doc_id").alias("of"), F.col("row.mark").alias("as")).alias("f")
+    alike = marked.where("root is not null").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).alias("m")
+    first = first.join(alike, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("as") == F.col("mark"))).select("of", "as", "n")
+    none = marked.where("root is null").select(F.col("doc_id").alias("of"), F.col("mark").alias("as")).distinct().withColumn("n", F.lit(1).cast("long"))
+    stay = cut(first.unionByName(none))
+    hit = own.withColumns({"id": doc_id.cast("long"), "mark": F.xxhash64(text)}).join(stay, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("as")))
+    out = hit.where("n = 1").unionByName(hit.where("n > 1").dropDuplicates(["id", "mark"]))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(columns, docs.columns)))
