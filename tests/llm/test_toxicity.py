@@ -64,7 +64,7 @@ def test_any_length_and_place(spark, data):
     docs, labels = data
     rng = random.Random(5)
     spelled = " ".join("thenotionisaridiotidiotmoronotherstorm" * 2)
-    forms = ["mo.ron", "id-iot", "morron", "iddiot", "what a m o r o n", "y o u i d i o t", "m" + "o" * 90 + "ron and id" + "i" * 200 + "ot", spelled]
+    forms = ["i.....d.....i.....o.....t", "i-.d-.i-.o-.t", "i.i.i.d.i.o.t", "i" * 70 + "diot", "m--oo--r.o.n", "mo.ron", "id-iot", "morron", "iddiot", "what a m o r o n", "y o u i d i o t", "m" + "o" * 90 + "ron and id" + "i" * 200 + "ot", spelled]
     more = [(5000 + k, f"{english(rng, 20)} {w} {english(rng, 5)} {forms[k - 1]} {english(rng, 20)}", "x") for k, w in enumerate(forms)]
     plain = [(6000, english(rng, 30) + " letter hello all a b c d well-known and/or good", "x")]
     got = {r.doc_id: r for r in X.toxicity(spark.createDataFrame(docs + more + plain, "doc_id bigint, text string, score string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
@@ -75,3 +75,33 @@ def test_any_length_and_place(spark, data):
 @pytest.mark.parametrize(("text", "odd"), [("a " * 41, 1), ("m" + "o" * 90 + "n", 1), ("mo.ron", 1), ("stuupid", 1), ("дурраки", 1), ("plain words", 0)])
 def test_odd_tokens(text, odd):
     assert len(X.odd_tokens(X.Texts(pa.array([text]), fold=True))[0]) == odd
+
+
+def test_decoding_like_all_paths():
+    """Viterbi against every path of short lattices."""
+    import itertools
+
+    rng = random.Random(23)
+    code = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27
+    counts = np.random.default_rng(5).integers(0, 40, X.SYMBOLS**3)
+    log = X.Model(counts, ["idiot"]).log
+    for _ in range(400):
+        token = "".join(rng.choice("aabit013!*|.-é@") for _ in range(rng.randrange(1, 8)))
+        costs = {}
+        for path in itertools.product(*X.lattice(token)):
+            said = "".join(x for x, _ in path)
+            states = [0, 0, *map(code, said), 0]
+            cost = sum(p for _, p in path) - sum(log[a, b, c] for a, b, c in zip(states, states[1:], states[2:]))
+            costs[said] = min(cost, costs.get(said, np.inf))
+        assert costs[X.decode(log, token)] == pytest.approx(min(costs.values())), token
+
+
+def test_all_words_are_learned(spark):
+    """Many marking words, some of them long."""
+    rng = random.Random(29)
+    marking = [f"bad{''.join(rng.choice('abcdefgh') for _ in range(9))}" for _ in range(2300)] + ["x" * 50 + "yz" * 40]
+    docs = [(i, " ".join([english(rng, 5), *(marking[i % 20 :: 20] if i % 2 else [])]), "x") for i in range(2000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id bigint, toxic int")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, score string")
+    found = X.learn_words(df.join(labels, "doc_id").select("text", "toxic"))
+    assert {w for w, _, _ in found} >= {w for k in range(1, 20, 2) for w in marking[k::20]}

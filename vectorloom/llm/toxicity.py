@@ -1,21 +1,22 @@
 """Toxicity of texts, judged after a noisy-channel decoding of obfuscated words.
 
 Channel: a written token is a lattice.  A character stands for itself or, if it is a digit or sign, for the letters that it
-is used for; separators between single letters stand for nothing; a run of one letter stands for one or two of it; single
-letters in a row may be one word, or several: marked words of three letters and more count wherever they stand in such a row.
-Tokens and rows may be of any length.  Viterbi finds the letters that a character trigram model with the channel's costs likes
+is used for; separators stand for nothing, however many; a run of one letter, with or without separators in it, stands for one or
+two of it; single letters in a row may be one word, or several: marked words of three letters and more count wherever they
+stand in such a row.  Tokens and rows may be of any length.  Viterbi finds the letters that a character trigram model with the channel's costs likes
 best.  The model is counted over the words of all documents, in one pass whose result is bounded by the alphabet cubed, and
 over the words that mark toxic documents, so decoding leans to those where the corpus leaves a choice.
 
 Score: the words that mark toxic documents are found from at most FIT labelled rows (least crc32 first), few enough to be
-broadcast, so that no text moves: the share of toxic and of other documents that have a word, a one-sided bound on its log
-odds, and at most LEXICON words, best first.  A document's evidence is the sum of their weights over the distinct marked
+broadcast, so that no text moves: the share of toxic and of other documents that have a word, and a one-sided bound on its log
+odds.  All words with a bound above 1 that three toxic documents have are taken; FIT bounds their number.  A document's evidence is the sum of their weights over the distinct marked
 words of its restored text.  A logistic curve, fitted on the evidence of those same rows, turns it into a score.  Only rows
 whose crc32(doc_id as text) mod 5 is not 0 lend their labels.
 
 Defined results: null and empty texts have no evidence and score as such; without labelled rows of both kinds every score is
-the share of toxic labels, or 0 without any; repeated labels of a document each count; rows repeat as given; a null doc_id is
-not held out and has no label; extra columns are ignored.
+the share of toxic labels, or 0 without any; repeated labels of a document each count; of rows that share a labelled doc_id
+the curve is fitted on the greatest evidence; rows repeat as given; a null doc_id is not held out and has no label; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from vectorloom.llm.scratch import cut, struct
 from vectorloom.llm.textscan import SPACE, Texts, chunks, int64
 
-LEXICON, FIT = 2_000, 20_000
+FIT = 20_000
 #: What digits and signs are written for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "6": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 SEPARATORS = "._-*~ '^,:/+|"
@@ -88,9 +89,12 @@ class Model:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Each written character as (letters it may stand for, cost); "" is silence."""
     out: list[list[tuple[str, float]]] = []
-    run = 0
-    for k, c in enumerate(token):
-        run = run + 1 if k and token[k - 1] == c else 1
+    run, last = 0, ""
+    for c in token:
+        if c in SEPARATORS and c not in LEET:
+            out.append([("", 0.5)])
+            continue
+        run, last = run + 1 if c == last else 1, c
         if c.isalpha():
             if run == 1:
                 out.append([(c, 0.0)])
@@ -130,21 +134,21 @@ def decode(log: np.ndarray, token: str) -> str:
 
 
 def odd_tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (start, end, text) that may hide a word: letters mixed with signs or separators, two equal letters in a row,
-    or four and more single letters in a row, of any length."""
+    """Spans (start, end, text) that may hide a word: letters with signs or separators among or beside them, two equal letters
+    in a row, or four and more single letters in a row, of any length."""
     raw = texts.bytes
     starts, ends, of = texts.words()
     summed = lambda flags: np.concatenate([[0], np.cumsum(flags)])
     count = lambda flags: (lambda s: s[ends] - s[starts])(summed(flags))
     letter = LETTER[raw]
-    inside = np.zeros(len(raw), bool)
-    if len(raw) > 2:
-        inside[1:-1] = letter[:-2] & letter[2:] & (INNER[raw[1:-1]])
-        joined = letter[:-1] & SIGN[raw[1:]] | SIGN[raw[:-1]] & letter[1:]
-    else:
-        joined = np.zeros(max(len(raw) - 1, 0), bool)
+    at = np.flatnonzero(letter)
+    first, last = np.searchsorted(at, starts), np.searchsorted(at, ends) - 1  # the letters of each word
+    between = summed(INNER[raw] | SIGN[raw])
+    inside = np.zeros(len(starts), bool)
+    own = last > first
+    inside[own] = between[at[last[own]]] > between[at[first[own]]]
     beside = np.zeros(len(raw), bool)
-    beside[:-1] |= joined
+    beside[:-1] |= letter[:-1] & SIGN[raw[1:]] | SIGN[raw[:-1]] & letter[1:]
     twice = np.zeros(len(raw), bool)  # at the first byte of a letter that the next one repeats
     for size, low, high in ((1, 0, 0x80), (2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
         n = max(len(raw) - 2 * size + 1, 0)
@@ -153,7 +157,7 @@ def odd_tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             same &= raw[k : n + k] == raw[size + k : n + size + k]
         twice[:n] |= same
     letters = count(letter)
-    odd = (letters >= 2) & ((count(inside) > 0) | (count(twice) > 0) | (count(beside) > 0))
+    odd = (letters >= 2) & (inside | (count(twice) > 0) | (count(beside) > 0))
     single = (letters == 1) & (ends - starts <= 2) | (ends - starts == 1) & SIGN[raw[np.minimum(starts, max(len(raw) - 1, 0))]] if len(raw) else np.zeros(0, bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     a, b = edge[::2], edge[1::2]
@@ -232,12 +236,12 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, t, first = w[new], t[new], order[new]
             at = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
             toxic = np.asarray(part.column("toxic")).astype(np.int64)
-            text = [texts.bytes[starts[k] : ends[k]][:64].tobytes().decode("utf-8", "ignore") for k in first[at].tolist()]
+            text = [texts.bytes[starts[k] : ends[k]].tobytes().decode("utf-8", "ignore") for k in first[at].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), int64(w[at]), pa.array(np.add.reduceat(toxic[t], at)), pa.array(np.diff(np.append(at, len(t))))], names=["word", "hash", "toxic", "n"])
 
 
 def learn_words(labelled: DataFrame) -> list[tuple[str, int, float]]:
-    """labelled(text, toxic) to (word, fingerprint, weight), at most LEXICON."""
+    """labelled(text, toxic) to (word, fingerprint, weight)."""
     totals = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, toxic = totals[0], totals[1]
     if not toxic or toxic == n:
@@ -247,8 +251,8 @@ def learn_words(labelled: DataFrame) -> list[tuple[str, int, float]]:
     a, b = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
     odds = F.log(a / (toxic + 1.0)) - F.log(b / (n - toxic + 1.0))
     low = odds - 2.6 * F.sqrt(1 / a + 1 / b)
-    rows = found.select("word", "hash", odds.alias("odds"), low.alias("low")).where("low > 1").orderBy(F.desc("low"), "word").limit(LEXICON).collect()
-    return [(r["word"], r["hash"], r["odds"]) for r in rows]
+    rows = found.select("word", "hash", odds.alias("odds"), low.alias("low")).where("low > 1").collect()
+    return sorted((r["word"], r["hash"], r["odds"]) for r in rows)
 
 
 def _evidence(sent):
@@ -290,8 +294,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("long").alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    marks = F.broadcast(cut(marks.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id", "toxic").limit(FIT)))
-    words = learn_words(docs.join(marks, "doc_id").select("text", "toxic"))
+    marks = cut(marks.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id", "toxic").limit(FIT))
+    words = learn_words(docs.join(F.broadcast(marks), "doc_id").select("text", "toxic"))
     counts = np.zeros(SYMBOLS**3, np.int64)
     if words:
         grams = docs.select("text").mapInArrow(_trigrams, struct(gram="bigint", n="bigint")).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
@@ -299,8 +303,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = sorted((h % 2**64, w) for _, h, w in words)
     sent = spark.sparkContext.broadcast((np.array([h for h, _ in order], np.uint64), np.array([w for _, w in order]), Model(counts, [w for w, _, _ in words]).log, sorted({len(w.encode()) for w, _, _ in words if len(w) > 2})))
     found = cut(docs.mapInArrow(_evidence(sent), struct(doc_id="bigint", evidence="double")))
-    fit = found.join(marks, "doc_id").select("evidence", "toxic").orderBy("evidence", "toxic").toArrow()
-    x, y = fit.column("evidence").to_numpy(), fit.column("toxic").to_numpy().astype(float)
+    marks = marks.groupBy("doc_id", "toxic").agg(F.count("*").alias("n"))
+    fit = found.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic", "n").agg(F.max("evidence").alias("evidence")).toArrow()  # FIT rows at most
+    x, y, n = (fit.column(c).to_numpy() for c in ("evidence", "toxic", "n"))
+    order = np.lexsort((y, x))
+    x, y = np.repeat(x[order], n[order]), np.repeat(y[order], n[order]).astype(float)
     a, b = fit_curve(x, y) if len(np.unique(y)) == 2 else (0.0, np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)) if len(y) else -30.0)
     score = 1 / (1 + F.exp(-(F.lit(float(a)) * F.col("evidence") + F.lit(float(b)))))
     out = found.withColumn("score", score).withColumn("held_out", held_out(F.col("doc_id")))
