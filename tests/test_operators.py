@@ -51,6 +51,7 @@ def test_filters(rows):
     assert keep({"extra": {"$ne": 0}}) == {i for i in range(1, 200) if i % 4 == 0}  # a missing value is rejected
     assert keep({"extra": {"$nin": [4]}}) == {i for i in range(200) if i % 4 == 0 and i != 4}
     assert keep({}) == set(range(200)) == keep(None)
+    assert keep(F.col("extra") > 100) == {i for i in range(101, 200) if i % 4 == 0} == keep(lambda df: (df.vec_id > 100) & (df.vec_id % 4 == 0))
     for bad in ({"score": {"$near": 1}}, {"nothing": 1}):
         with pytest.raises(ValueError):
             apply_filter(rows, bad)
@@ -141,3 +142,29 @@ def test_state_machines(spark):
     assert allowed == [True, True, True, True, True, True]
     allowed = [r.allowed for r in routing.token_bucket(log, "k", "t", rate=0.01, burst=1.0).orderBy("t").collect()]
     assert allowed == [True, False, False, False, False, False]
+
+
+def test_lloyd_like_numpy(spark):
+    """Rounds until nothing moves."""
+    own = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "ordinal bigint, embedding array<double>")
+    centres, rounds = X[[i * 200 // 5 for i in range(5)]], 0
+    while rounds < 100:
+        near = ((X[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([X[near == c].mean(0) if (near == c).any() else X[c] for c in range(5)])
+        moved, centres, rounds = np.abs(new - centres).sum(), new, rounds + 1
+        if moved < 1e-6:
+            break
+    got = {r.cluster_id: r.centre for r in ann.lloyd(own, 5).collect()}
+    assert rounds > 3 and np.allclose([got[c] for c in range(5)], centres)
+
+
+@pytest.mark.parametrize("name", ["ivf_probe", "lsh_search"])
+def test_recall(spark, name):
+    """At least 0.9 of the true ten nearest, for every twentieth vector."""
+    from vectorloom.queries import QUERIES
+
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    truth = search.knn_join(asked, e, 10)
+    got = search.recall_at_k(QUERIES[name](spark, "/root/testdata/sf0.1"), truth).agg(F.count("*").alias("n"), F.avg("recall").alias("recall")).first()
+    assert got.n == 100 and got.recall >= 0.9

@@ -121,9 +121,10 @@ def rewrite(text: Column, terms: dict[str, str]) -> Column:
     return text
 
 
-def red_flags(text: Column) -> Column:
-    lower = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.contains(lower, F.lit(w)), F.lit(w)) for w in RED_FLAGS)))
+def red_flags(text: Column, audience: Column) -> Column:
+    """Words that texts for readers in business shouldn't have; none for other readers."""
+    lower, strict = F.lower(text), F.lower(audience).isin("business", "investor", "executive")
+    return F.array_compact(F.array(*(F.when(strict & F.contains(lower, F.lit(w)), F.lit(w)) for w in RED_FLAGS)))
 
 
 def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cut: int = 100) -> DataFrame:
@@ -139,6 +140,14 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cut: i
     return lines.where(hint).select(key, (F.col("line") + 1).alias("line"), F.explode(found).alias("f")).select(key, "line", "f.severity", "f.rule", "f.match")
 
 
+def scan_summary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row: documents scanned, matches in all and by severity, and what comes of it."""
+    of = lambda s: F.count_if(F.col("severity") == s)
+    found = secret_scan(docs, key, text).agg(F.count("*").alias("issues"), of("critical").alias("critical"), of("warning").alias("warnings"))
+    status = F.when(F.col("critical") > 0, "FAIL").when(F.col("warnings") > 0, "WARNING").otherwise("PASS")
+    return docs.agg(F.count("*").alias("scanned")).join(found, how="cross").withColumn("status", status)
+
+
 def answer(texts: Column) -> Column:
     """From documents, best first: of the first three, the first two sentences if they have over ten characters; the first
     three of those, joined."""

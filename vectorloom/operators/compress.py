@@ -137,3 +137,11 @@ def in_sequences(df: DataFrame, size: int = 100, key: str = "vec_id") -> DataFra
     """df with theta: seq_id is key div size, pos the place by (theta, key) in the sequence."""
     own = df.withColumn("seq_id", F.expr(f"{key} div {size}"))
     return own.withColumn("pos", F.row_number().over(Window.partitionBy("seq_id").orderBy("theta", key)) - 1)
+
+
+def distinct_parts(df: DataFrame, m: int, dimensions: int, decimals: int = 6, vector: str = "embedding") -> DataFrame:
+    """(subspace, n): the different parts of vectors in each of m subspaces, to so many decimals."""
+    width = dimensions // m
+    own = df.select(F.transform(V.vec(vector), lambda x: F.round(x, decimals)).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("subspace"))
+    parts = own.select("subspace", F.slice("v", F.col("subspace") * width + 1, width).alias("part")).distinct()
+    return parts.groupBy("subspace").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ have an item of it.  Unknown operators and columns are errors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -42,5 +43,10 @@ def compile_filter(schema: T.StructType, filters: dict[str, Any] | None) -> Colu
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def apply_filter(df: DataFrame, filters: dict[str, Any] | None) -> DataFrame:
-    return df.where(compile_filter(df.schema, filters)) if filters else df
+def apply_filter(df: DataFrame, filters: dict[str, Any] | Column | Callable[[DataFrame], Column] | None) -> DataFrame:
+    """The rows that a dictionary, a boolean column, or what a function makes of df, accepts; null is no."""
+    if filters is None:
+        return df
+    if isinstance(filters, dict):
+        return df.where(compile_filter(df.schema, filters)) if filters else df
+    return df.where(filters if isinstance(filters, Column) else filters(df))

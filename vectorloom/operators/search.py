@@ -116,3 +116,11 @@ def top_per_group(df: DataFrame, group: str, score: Column, k: int, key: str) ->
     """The k best rows of each group, with score and rank; a group's rows are cut to k in each task before they move."""
     own = Window.partitionBy(group).orderBy(F.desc("score"), key)
     return df.withColumn("score", score).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+
+
+def merge_shards(df: DataFrame, query: DataFrame | list[float], k: int, metric: str = "cosine", shard: str = "shard", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """df has a shard column: the k best rows of each shard, as each would answer on its own, and the k best of those."""
+    own = with_query(df, query)
+    parts = top_per_group(own, shard, V.score(metric, F.col(vector), F.col("q")), k, key).drop("rank", "q", vector)
+    best = parts.orderBy(F.desc("score"), key).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))

@@ -151,25 +151,31 @@ def cumulative_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("day", F.round("saved", 4).alias("saved"), F.round(F.sum("saved").over(Window.orderBy("day")), 4).alias("total"))
 
 
-@query("windowed_metrics", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL"
+
+
+@query("windowed_metrics", WINDOWS)
 def windowed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch twin of the stream."""
     return metrics.windowed_metrics(log(spark, sf_dir)).select("start", "event_type", "n", r(F.col("mean"), "mean"))
 
 
-@query("streamed_metrics")
+@query("streamed_metrics", WINDOWS)
 def streamed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream itself over the table's file, run until it has no more input; the result is what its sink has."""
+    """The stream itself over the table's file, run until it has no more input; the result is what its sink has.  A closing
+    row a day behind the last one takes the watermark past every window of the table; its own stays open."""
     import uuid
 
     from vectorloom.plans.scratch import shared_dir
 
     at = f"{shared_dir(spark)}/vectorloom/stream-{uuid.uuid4().hex}"
     log(spark, sf_dir).write.parquet(f"{at}/in")
+    metrics.closing(log(spark, sf_dir)).write.mode("append").parquet(f"{at}/in")
     events = spark.readStream.schema(log(spark, sf_dir).schema).parquet(f"{at}/in")
     run = metrics.windowed_metrics(events).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
     run.awaitTermination()
-    return spark.read.schema("start timestamp, end timestamp, event_type string, n bigint, mean double, least double, most double").parquet(f"{at}/out")
+    out = spark.read.schema("start timestamp, end timestamp, event_type string, n bigint, mean double, least double, most double").parquet(f"{at}/out")
+    return out.select("start", "event_type", "n", r(F.col("mean"), "mean"))
 
 
 # ---- routing

@@ -151,17 +151,24 @@ def spiral_xy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return angular.xy_search(own, 0.5, 0.5, 10, 1.0).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("spiral_order_radius", ID[:-2] + " SELECT vec_id, row_number() OVER (ORDER BY round(abs(list_avg(v)), 9), vec_id) - 1 AS position FROM o")
+@query("spiral_order_radius", ID[:-2] + " SELECT vec_id, row_number() OVER (ORDER BY round(radius * (1 + vec_id % 7), 6), vec_id) - 1 AS position FROM o")
 def spiral_order_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order by radius; the vectors are of unit length, so the radius of the simple variant is used."""
-    own = angular.xy_simple(numbered(spark, sf_dir), F.col("ordinal")).withColumn("radius", F.round("radius", 9))
+    """Order by norm; the table's vectors are of unit length, so each is stretched by its id modulo 7."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", V.scale(E(), 1.0 + F.col("vec_id") % 7).alias("embedding"))
+    own = own.withColumn("radius", F.round(V.norm(F.col("embedding")), 6))
     return global_rank(own.select("vec_id", "radius"), ["radius", "vec_id"], "position").select("vec_id", "position")
 
 
-@query("reference_ema", ID + "s0 AS (SELECT v AS r FROM o WHERE ordinal = 0), s1 AS (SELECT list_transform(list_zip(r, v), lambda p: 0.99::DOUBLE * p[1] + 0.01::DOUBLE * p[2] / sqrt(list_inner_product(v, v))) AS m FROM s0, o WHERE ordinal = 0), n1 AS (SELECT list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS r FROM s1), s2 AS (SELECT list_transform(list_zip(r, v), lambda p: 0.99::DOUBLE * p[1] + 0.01::DOUBLE * p[2] / sqrt(list_inner_product(v, v))) AS m FROM n1, o WHERE ordinal = 100), n2 AS (SELECT list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS r FROM s2), u AS (SELECT 0 AS step, r FROM s0 UNION ALL SELECT 1, r FROM n1 UNION ALL SELECT 2, r FROM n2) SELECT step, round(r[1], 6) AS first, round(r[64], 6) AS last FROM u")
+STEPS = (
+    ID.replace("WITH ", "WITH RECURSIVE ", 1) + "s AS (SELECT 0 AS step, v AS r FROM o WHERE ordinal = 0 UNION ALL SELECT step + 1, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) FROM "
+    "(SELECT s.step, list_transform(list_zip(s.r, o.v), lambda p: 0.99::DOUBLE * p[1] + 0.01::DOUBLE * p[2] / sqrt(list_inner_product(o.v, o.v))) AS m FROM s JOIN o ON o.ordinal = s.step * 100)) "
+)
+
+
+@query("reference_ema", STEPS + "SELECT step::INT AS step, round(r[1], 6) AS first, round(r[64], 6) AS last FROM s")
 def reference_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = numbered(spark, sf_dir).where("ordinal < 200")
-    states = angular.reference_states(own, search.one_vector(table(spark, sf_dir, "embeddings"), 0))
+    """All states of the drifting reference."""
+    states = angular.reference_states(numbered(spark, sf_dir), search.one_vector(table(spark, sf_dir, "embeddings"), 0))
     return states.select("step", F.round(F.element_at("reference", 1), 6).alias("first"), F.round(F.element_at("reference", 64), 6).alias("last"))
 
 
@@ -295,9 +302,10 @@ def recon_quality_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(*(F.round(c, 6).alias(c) for c in ("mse", "cosine_mean", "relative_error", "composite_score")))
 
 
-@query("distinct_subvectors", "SELECT count(DISTINCT list_transform((embedding::DOUBLE[])[1:2], lambda x: round(x, 1))) AS n FROM embeddings")
+@query("distinct_subvectors", "SELECT s.s::INT AS subspace, count(DISTINCT list_transform((embedding::DOUBLE[])[s.s * 8 + 1:s.s * 8 + 8], lambda x: round(x, 6))) AS n FROM embeddings, range(8) s(s) GROUP BY 1")
 def distinct_subvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").agg(F.count_distinct(F.transform(F.slice(V.vec("embedding"), 1, 2), lambda x: F.round(x, 1))).alias("n"))
+    """Different vectors in each of eight subspaces, at six decimals."""
+    return compress.distinct_parts(table(spark, sf_dir, "embeddings"), 8, 64)
 
 
 # ---- neighbours
@@ -316,10 +324,10 @@ def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.assign(table(spark, sf_dir, "embeddings"), centres_of(spark, sf_dir)).select("vec_id", "cluster_id")
 
 
-@query("kmeans_lloyd", CENTRES + ", ".join([NEAR.format(a="a0", c="c0"), MEANS.format(c="c1", a="a0"), NEAR.format(a="a1", c="c1"), MEANS.format(c="c2", a="a1")]) + ", x AS (SELECT cluster_id, unnest(range(64))::INT AS dim, unnest(centre) AS x FROM c2) SELECT cluster_id, dim, round(x, 6) AS value FROM x")
+@query("kmeans_lloyd")
 def kmeans_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds from fixed rows."""
-    made = ann.lloyd(numbered(spark, sf_dir), 8, iterations=2)
+    """From fixed rows until no centre moves, a hundred rounds at most."""
+    made = ann.lloyd(numbered(spark, sf_dir), 8)
     return made.select("cluster_id", F.posexplode("centre").alias("dim", "x")).select("cluster_id", "dim", F.round("x", 6).alias("value"))
 
 
@@ -329,11 +337,12 @@ def ivf_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("cluster_id", F.size("members").cast("long").alias("n"), F.array_join("members", ",").alias("members"))
 
 
-@query("ivf_probe", CENTRES + NEAR.format(a="a0", c="c0") + ", n AS (SELECT vec_id AS query_id, v AS q, cluster_id FROM o, c0 WHERE vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), cluster_id) <= 2), s AS (SELECT query_id, vec_id, list_cosine_similarity(v, q) AS score FROM n JOIN a0 USING (cluster_id)) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
+@query("ivf_probe", CENTRES + NEAR.format(a="a0", c="c0") + ", n AS (SELECT vec_id AS query_id, v AS q, cluster_id FROM o, c0 WHERE vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), cluster_id) <= 7), s AS (SELECT query_id, vec_id, list_cosine_similarity(v, q) AS score FROM n JOIN a0 USING (cluster_id)) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
 def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven of eight lists: the table's vectors point anywhere, so true neighbours are spread over many lists."""
     e = table(spark, sf_dir, "embeddings")
     centres = centres_of(spark, sf_dir)
-    found = ann.probe(queries_of(e), ann.assign(e, centres), centres, 2)
+    found = ann.probe(queries_of(e), ann.assign(e, centres), centres, 7)
     return search.top_per_group(found, "query_id", F.col("score"), 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -351,25 +360,29 @@ def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.groupBy(F.col("code").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-CANDIDATES = PLANES + "b AS (SELECT vec_id, h // 4 AS band, sum(bit * 2 ** (h % 4))::BIGINT AS code FROM bits GROUP BY 1, 2), x AS (SELECT q.vec_id AS query_id, r.vec_id, count(*) AS shared FROM b q JOIN b r ON q.band = r.band AND q.code = r.code WHERE q.vec_id % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= 2)"
+def candidates_sql(bands: int, least: int) -> str:
+    size = 16 // bands
+    return PLANES + f"b AS (SELECT vec_id, h // {size} AS band, sum(bit * 2 ** (h % {size}))::BIGINT AS code FROM bits GROUP BY 1, 2), x AS (SELECT q.vec_id AS query_id, r.vec_id, count(*) AS shared FROM b q JOIN b r ON q.band = r.band AND q.code = r.code WHERE q.vec_id % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= {least})"
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a query and a row that share half of the four band tables or more."""
-    bands = ann.band_codes(table(spark, sf_dir, "embeddings"), planes(spark, sf_dir), 4)
-    asked = bands.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "band", "code")
-    return asked.join(bands, ["band", "code"]).groupBy("query_id", "vec_id").agg(F.count("*").alias("shared")).where("shared >= 2")
+def candidates(spark: SparkSession, sf_dir: str, bands: int, least: int) -> DataFrame:
+    """Pairs of a query and a row that share at least so many of the band tables."""
+    own = ann.band_codes(table(spark, sf_dir, "embeddings"), planes(spark, sf_dir), bands)
+    asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "band", "code")
+    return asked.join(own, ["band", "code"]).groupBy("query_id", "vec_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-@query("lsh_candidates", CANDIDATES + " SELECT query_id, vec_id, shared FROM x")
+@query("lsh_candidates", candidates_sql(4, 2) + " SELECT query_id, vec_id, shared FROM x")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir)
+    """Half of four tables."""
+    return candidates(spark, sf_dir, 4, 2)
 
 
-@query("lsh_search", CANDIDATES + ", s AS (SELECT query_id, x.vec_id, list_cosine_similarity(q.v, r.v) AS score FROM x JOIN o q ON q.vec_id = query_id JOIN o r ON r.vec_id = x.vec_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
+@query("lsh_search", candidates_sql(8, 1) + ", s AS (SELECT query_id, x.vec_id, list_cosine_similarity(q.v, r.v) AS score FROM x JOIN o q ON q.vec_id = query_id JOIN o r ON r.vec_id = x.vec_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share one of eight tables of two planes, scored exactly."""
     e = table(spark, sf_dir, "embeddings")
-    both = candidates(spark, sf_dir).join(queries_of(e), "query_id").join(e.select("vec_id", "embedding"), "vec_id")
+    both = candidates(spark, sf_dir, 8, 1).join(queries_of(e), "query_id").join(e.select("vec_id", "embedding"), "vec_id")
     found = both.select("query_id", "vec_id", V.cosine(F.col("q"), E()).alias("score"))
     return search.top_per_group(found, "query_id", F.col("score"), 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 

@@ -89,15 +89,18 @@ def _sql_rule(severity: str, rule: str, regex: str) -> str:
     return f"SELECT doc_id, line, '{severity}' AS severity, '{rule}' AS rule, left(unnest(regexp_extract_all(content, '{quoted}')), 100) AS match FROM l"
 
 
-@query("secret_scan", "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), l AS (SELECT doc_id, unnest(p) AS content, unnest(range(1, len(p) + 1))::INT AS line FROM s) " + " UNION ALL ".join(_sql_rule(s, r, x) for s, rules in X.SECRETS.items() for r, x in rules.items()))
+SCAN = "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), l AS (SELECT doc_id, unnest(p) AS content, unnest(range(1, len(p) + 1))::INT AS line FROM s), m AS (" + " UNION ALL ".join(_sql_rule(s, r, x) for s, rules in X.SECRETS.items() for r, x in rules.items()) + ")"
+
+
+@query("secret_scan", SCAN + " SELECT * FROM m")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.secret_scan(docs(spark, sf_dir))
 
 
-@query("scan_summary", "WITH c AS (SELECT doc_id, (regexp_matches(text, 'token = \"[0-9a-f]{40}\"'))::INT AS critical, (regexp_matches(text, '@mail'))::INT AS warning FROM documents) SELECT CASE WHEN critical > 0 THEN 'FAIL' WHEN warning > 0 THEN 'WARNING' ELSE 'PASS' END AS status, count(*) AS n FROM c GROUP BY 1")
+@query("scan_summary", SCAN + ", c AS (SELECT count(*) AS issues, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warnings FROM m) SELECT (SELECT count(*) FROM documents) AS scanned, issues, critical, warnings, CASE WHEN critical > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM c")
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    critical, warning = F.col("text").rlike('token = "[0-9a-f]{40}"'), F.col("text").rlike("@mail")
-    return docs(spark, sf_dir).groupBy(F.when(critical, "FAIL").when(warning, "WARNING").otherwise("PASS").alias("status")).agg(F.count("*").alias("n"))
+    """Of all matches of the whole set of rules."""
+    return X.scan_summary(docs(spark, sf_dir))
 
 
 @query("path_check", "SELECT page_id FROM pages WHERE regexp_matches(url, '\\.html?($|[?#])')")
@@ -153,10 +156,13 @@ def term_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(X.rewrite(F.col("text"), TERMS).cast("binary")).alias("digest"))
 
 
-@query("red_flags", "SELECT doc_id, array_to_string(list_filter(['spiritual', 'sacred', 'consciousness', 'love', 'healing', 'divine'], lambda w: contains(lower(text), w)), ',') AS flags FROM (SELECT doc_id, text || CASE WHEN doc_id % 6 = 0 THEN ' a Divine, healing offer' ELSE '' END AS text FROM documents)")
+AUDIENCE = "CASE WHEN doc_id % 2 = 0 THEN 'business' WHEN doc_id % 3 = 0 THEN 'Investor' ELSE 'academic' END"
+
+
+@query("red_flags", f"SELECT doc_id, array_to_string(list_filter(['spiritual', 'sacred', 'consciousness', 'love', 'healing', 'divine'], lambda w: contains(lower(text), w) AND lower(audience) IN ('business', 'investor', 'executive')), ',') AS flags FROM (SELECT doc_id, {AUDIENCE} AS audience, text || CASE WHEN doc_id % 5 = 0 THEN ' a Divine, healing offer' ELSE '' END AS text FROM documents)")
 def red_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.concat("text", F.when(F.col("doc_id") % 6 == 0, " a Divine, healing offer").otherwise(""))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(X.red_flags(own), ",").alias("flags"))
+    own = F.concat("text", F.when(F.col("doc_id") % 5 == 0, " a Divine, healing offer").otherwise(""))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(X.red_flags(own, F.expr(AUDIENCE)), ",").alias("flags"))
 
 
 @query("sql_functions", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q), 6) AS dot, round(list_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q")

@@ -193,9 +193,9 @@ def topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shard_merge_topk", f"{WITH}, s AS (SELECT vec_id, label, {DOT} AS score, vec_id % 8 AS shard FROM e), t AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY score DESC, vec_id) AS r FROM s QUALIFY r <= 5) {TOP.format('t', 5)}")
 def shard_merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of each shard, merged: what a top-k plan does with partitions as shards."""
-    e = table(spark, sf_dir, "embeddings")
-    return shown(search.topk(e, search.one_vector(e, 0), 5, "dot"))
+    """The best of each shard, then the best of those."""
+    e = table(spark, sf_dir, "embeddings").withColumn("shard", F.col("vec_id") % 8)
+    return shown(search.merge_shards(e, search.one_vector(e, 0), 5, "dot"))
 
 
 @query("score_rank", "WITH s AS (SELECT label, avg(len(embedding)) * 0 + count(*) AS n, label / 10.0 AS ratio FROM embeddings GROUP BY label), t AS (SELECT label, CASE WHEN label = 9 THEN -1.0 ELSE (label % 4) / 4.0 * ratio - 0.5 * abs(ratio - 0.7) END AS score FROM s) SELECT label, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, label)::INT AS rank FROM t")

@@ -18,6 +18,12 @@ def windowed_metrics(events: DataFrame, window: str = "1 hour", delay: str = "10
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "mean", "least", "most")
 
 
+def closing(events: DataFrame, after: str = "1 day") -> DataFrame:
+    """One row of nulls but for ts, `after` behind the last of a table: a stream that gets it closes all windows before."""
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts")).where("ts is not null")
+    return last.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+
+
 def token_bucket(events: DataFrame, rate: float, burst: float) -> DataFrame:
     """Adds allowed to (user_id, ts): stateful over micro-batches, a bucket per user; a stream only."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
