@@ -168,3 +168,44 @@ def test_recall(spark, name):
     truth = search.knn_join(asked, e, 10)
     got = search.recall_at_k(QUERIES[name](spark, "/root/testdata/sf0.1"), truth).agg(F.count("*").alias("n"), F.avg("recall").alias("recall")).first()
     assert got.n == 100 and got.recall >= 0.9
+
+
+def test_encoded_table(spark, tmp_path):
+    """Trained on differences, stored, loaded and decoded at every level."""
+    from vectorloom.sources.encoded import EncodedTable
+
+    base = rng.standard_normal((5, 16))
+    v = np.concatenate([b + 0.1 * np.cumsum(rng.standard_normal((64, 16)), 0) / 8 for b in base])
+    rows = spark.createDataFrame([(i, i // 64, i % 64, x.tolist(), f"c{i % 3}") for i, x in enumerate(v)], "vec_id bigint, seq_id int, pos int, embedding array<double>, category string")
+    own = EncodedTable(spark, f"file://{tmp_path}/e", 16)
+    own.train(rows, bits=4, m=4, levels=2, iterations=5)
+    own.write(rows.where("seq_id < 3"))
+    own.write(rows.where("seq_id >= 3"))
+    back = EncodedTable.load(spark, f"file://{tmp_path}/e")
+    assert back.stored().where("codes is null").count() == 5 * 5 and back.levels() == 2
+    for level in range(2):
+        got = {r.vec_id: r for r in back.read(level).collect()}
+        assert len(got) == 320 and all(got[i].category == f"c{i % 3}" for i in got)
+        assert np.allclose(got[0].embedding, v[0])
+        error = np.mean([np.linalg.norm(got[i].embedding - v[i]) for i in got])
+        assert error < 0.5 * np.mean([np.linalg.norm(v[i] - v[i // 64 * 64]) for i in got])
+    assert {r.vec_id for r in back.read(sequence=2).collect()} == set(range(128, 192))
+    assert back.sizes(4).where("encoded_bytes > 0").count() == 5
+
+
+def test_rewrite_that_ends_early(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "vec_id bigint, embedding array<double>")
+    own = VectorTable(spark, path, 16, X[0].tolist())
+    own.insert(rows)
+    own.delete(rows.where("vec_id < 50"))
+    own.insert(rows.where("vec_id < 10"))
+    rows.limit(3).write.parquet(f"{path}/data-2")  # a rewrite whose mark is missing
+    (tmp_path / "v" / "data-2" / "_SUCCESS").unlink()
+    live = {*range(10), *range(50, 200)}
+    assert own.version() == 1 and set(ids(own.read())) == live
+    own.optimize()
+    assert own.version() == 2 and set(ids(own.read())) == live and not (tmp_path / "v" / "data-1").exists()
+    own.delete(rows.where("vec_id = 3"))
+    own.insert(rows.where("vec_id = 20"))
+    assert set(ids(own.read())) == live - {3} | {20}

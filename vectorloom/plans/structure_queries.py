@@ -254,6 +254,46 @@ def encode_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "seq_id", F.col("pos").cast("long").alias("pos"), "is_anchor", F.coalesce(F.array_join("codes", ","), F.lit("")).alias("codes"))
 
 
+LEVELS = DELTA_CODE.replace("o2 AS (SELECT *, vec_id AS vid FROM d)", "o2 AS (SELECT vec_id, list_transform(delta, lambda x: x * 0.5::DOUBLE ** {k}) AS delta FROM d)")
+
+
+def encoded(spark: SparkSession, sf_dir: str):
+    """A table of encoded sequences with a fixed codebook: eight codes in four subspaces, the same at both levels."""
+    import uuid
+
+    from vectorloom.plans.scratch import shared_dir
+    from vectorloom.sources.encoded import EncodedTable
+
+    e = numbered(spark, sf_dir)
+    zero = search.with_query(e, search.one_vector(e, 0)).withColumn("embedding", V.subtract(E(), F.col("q"))).drop("q")
+    book = compress.codebook_from_rows(zero, 8, 4, 64)
+    own = EncodedTable(spark, f"{shared_dir(spark)}/vectorloom/encoded-{uuid.uuid4().hex}", 64)
+    own.set_codebook(book.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))))
+    own.write(sequences(spark, sf_dir).select("seq_id", "pos", "vec_id", "label", "embedding"))
+    return EncodedTable.load(spark, own.path)
+
+
+@query("stored_encoded", DELTA_CODE + " SELECT k.vec_id, k.seq_id, k.pos, k.label, coalesce(string_agg(code::VARCHAR, ',' ORDER BY subspace), '') AS codes FROM k LEFT JOIN m USING (vec_id) GROUP BY ALL")
+def stored_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored of each row: codes of the first level, none for anchors."""
+    own = encoded(spark, sf_dir).stored()
+    return own.select("vec_id", F.col("seq_id").cast("long").alias("seq_id"), F.col("pos").cast("long").alias("pos"), "label", F.coalesce(F.array_join(F.col("codes")[0], ","), F.lit("")).alias("codes"))
+
+
+@query("encode_levels", LEVELS.format(k=1) + " SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY subspace) AS codes FROM m GROUP BY 1")
+def encode_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the second level, at half the scale."""
+    return encoded(spark, sf_dir).stored().where("codes is not null").select("vec_id", F.array_join(F.col("codes")[1], ",").alias("codes"))
+
+
+@query("decode_stored", DELTA_CODE + ", g AS (SELECT vec_id, flatten(list(centroid ORDER BY m.subspace)) AS decoded FROM m JOIN b ON m.subspace = b.subspace AND m.code = b.code GROUP BY vec_id) SELECT vec_id, k.label, round(CASE WHEN decoded IS NULL THEN 0.0 ELSE list_distance(d.v, list_transform(list_zip(anchor, decoded), lambda p: p[1] + p[2])) END, 6) AS error FROM k LEFT JOIN g USING (vec_id) LEFT JOIN d USING (vec_id)")
+def decode_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows read back, with their metadata and how far the decoded vector is from the one written."""
+    own = encoded(spark, sf_dir).read().select("vec_id", "label", F.col("embedding").alias("decoded"))
+    both = own.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return both.select("vec_id", "label", F.round(V.euclidean(E(), F.col("decoded")), 6).alias("error"))
+
+
 @query("compression_size", SEQ + "s AS (SELECT seq_id, count(*) AS n, count(*) FILTER (is_anchor) AS anchors FROM k GROUP BY 1), z AS (SELECT seq_id, n * 256 AS raw_bytes, anchors * 256 + (n - anchors) * 8 * 4 + 1024 + 16 * anchors + 32 AS encoded_bytes FROM s) SELECT seq_id, raw_bytes, encoded_bytes, round(1 - encoded_bytes / raw_bytes, 6) AS ratio, round(least(0.7, greatest(0.3, 1 - encoded_bytes / raw_bytes)), 6) AS clamped_ratio FROM z")
 def compression_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = compress.sizes(sequences(spark, sf_dir), 64, 16, 8, 4)

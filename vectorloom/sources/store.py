@@ -1,7 +1,9 @@
 """A table of vectors as Parquet: append, delete, update, compact, statistics, save and load.
 
-Layout under one path: data/ (append-only, in order of theta), tombstones/ (ids deleted, with the batch from which on an id
-is live again) and meta/ (dimensions and reference vector).  Reads join tombstones away; optimize() rewrites without them.
+Layout under one path: data-N/ (append-only, in order of theta), tombstones-N/ (ids deleted, with the batch from which on an
+id is live again) and meta/ (dimensions and reference vector).  Reads join tombstones away; optimize() writes version N + 1
+without them.  The version is the greatest N whose data folder has Spark's mark of success, so a rewrite counts once it is
+whole, and one that ends early changes nothing.
 """
 
 from __future__ import annotations
@@ -33,12 +35,22 @@ class VectorTable:
         meta = json.loads(spark.read.text(f"{path.rstrip('/')}/meta").first()[0])
         return cls(spark, path, meta["dimensions"], meta["reference"], meta["key"], meta["vector"])
 
+    def _files(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+
     def _exists(self, name: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        files, at = self._files()
+        return files.exists(at(f"{self.path}/{name}"))
+
+    def version(self) -> int:
+        files, at = self._files()
+        found = files.globStatus(at(f"{self.path}/data-*/_SUCCESS")) or []
+        return max((int(x.getPath().getParent().getName().split("-")[1]) for x in found), default=1)
 
     def _batch(self) -> int:
-        return (self.spark.read.parquet(f"{self.path}/data").agg(F.max("batch")).first()[0] or 0) + 1 if self._exists("data") else 1
+        data = f"data-{self.version()}"
+        return (self.spark.read.parquet(f"{self.path}/{data}").agg(F.max("batch")).first()[0] or 0) + 1 if self._exists(data) else 1
 
     # ---- writing
 
@@ -46,13 +58,13 @@ class VectorTable:
         """Append rows: key, vector and metadata columns.  Vectors of another size are an error; a row keeps its metadata."""
         rows = rows.withColumn(self.vector, V.checked(F.col(self.vector), self.dimensions))
         rows = angular.transform(rows, self.reference, self.vector).withColumn("region_id", angular.region(F.col("theta"))).withColumn("batch", F.lit(self._batch()).cast("long"))
-        rows.repartitionByRange("theta", self.key).sortWithinPartitions("theta", self.key).write.mode("append").parquet(f"{self.path}/data")
+        rows.repartitionByRange("theta", self.key).sortWithinPartitions("theta", self.key).write.mode("append").parquet(f"{self.path}/data-{self.version()}")
 
     def delete(self, ids: DataFrame) -> int:
         """ids(key): returns how many live rows it hides."""
         gone = self.read().join(ids.select(self.key).distinct(), self.key, "left_semi").select(self.key)
         n = gone.count()
-        gone.select(self.key, F.lit(self._batch()).cast("long").alias("before")).write.mode("append").parquet(f"{self.path}/tombstones")
+        gone.select(self.key, F.lit(self._batch()).cast("long").alias("before")).write.mode("append").parquet(f"{self.path}/tombstones-{self.version()}")
         return n
 
     def update(self, rows: DataFrame) -> None:
@@ -61,25 +73,27 @@ class VectorTable:
         self.insert(rows)
 
     def optimize(self) -> None:
-        """Rewrite without deleted rows, in order, then drop the tombstones."""
+        """Rewrite without deleted rows, in order, as the next version; then drop the one before."""
+        files, at = self._files()
+        old = self.version()
+        files.delete(at(f"{self.path}/data-{old + 1}"), True)  # of a rewrite that did not end
         live = self.read(system=True).withColumn("batch", F.lit(1).cast("long"))
-        live.repartitionByRange("theta", self.key).sortWithinPartitions("theta", self.key).write.mode("overwrite").parquet(f"{self.path}/compacted")
-        self.spark.read.parquet(f"{self.path}/compacted").write.mode("overwrite").parquet(f"{self.path}/data")
-        for name in ("tombstones", "compacted"):
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        live.repartitionByRange("theta", self.key).sortWithinPartitions("theta", self.key).write.parquet(f"{self.path}/data-{old + 1}")
+        for name in ("data", "tombstones"):
+            files.delete(at(f"{self.path}/{name}-{old}"), True)
 
     def backup(self, path: str) -> None:
-        self.read(system=True).write.parquet(f"{path.rstrip('/')}/data")
+        self.read(system=True).write.parquet(f"{path.rstrip('/')}/data-1")
         VectorTable(self.spark, path, self.dimensions, self.reference, self.key, self.vector).save()
 
     # ---- reading
 
     def read(self, system: bool = False) -> DataFrame:
         """Live rows; system: with theta, radius, region_id and batch."""
-        data = self.spark.read.parquet(f"{self.path}/data")
-        if self._exists("tombstones"):
-            gone = self.spark.read.parquet(f"{self.path}/tombstones").groupBy(self.key).agg(F.max("before").alias("before"))
+        version = self.version()
+        data = self.spark.read.parquet(f"{self.path}/data-{version}")
+        if self._exists(f"tombstones-{version}"):
+            gone = self.spark.read.parquet(f"{self.path}/tombstones-{version}").groupBy(self.key).agg(F.max("before").alias("before"))
             data = data.join(gone, self.key, "left").where(F.col("before").isNull() | (F.col("batch") >= F.col("before"))).drop("before")
         return data if system else data.drop("theta", "radius", "region_id", "batch")
 
