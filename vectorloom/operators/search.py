@@ -79,7 +79,8 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int = 10, metric: str = "cosi
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
-                    found = np.concatenate([best_score, _scores(metric, q, x)], 1)
+                    # a product's last bits depend on the shapes of its blocks, which mustn't decide between ties
+                    found = np.concatenate([best_score, np.round(_scores(metric, q, x), 12)], 1)
                     keys = np.concatenate([best_id, np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))], 1)
                     order = np.lexsort((keys, -found), axis=1)[:, :k]
                     best_score, best_id = np.take_along_axis(found, order, 1), np.take_along_axis(keys, order, 1)
