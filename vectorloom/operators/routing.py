@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def place(key: Column) -> Column:
@@ -81,48 +85,61 @@ def rebalance(nodes: DataFrame, shards: DataFrame, slack: float = 0.2) -> DataFr
     return own.withColumn("state", F.when(F.col("load") > (1 + slack) * mean, "overloaded").when(F.col("load") < (1 - slack) * mean, "underloaded").otherwise("balanced"))
 
 
+def fold(df: DataFrame, key: str, time: str, start: tuple, step: Callable[..., tuple[tuple, object]], made: str, type: str) -> DataFrame:
+    """Adds the column made: step(state, seconds since the row before, *other columns) gives the next state and its value, for
+    the rows of each key by time, then by the other columns.  df has key, time and the others, in that order.
+
+    Keys are dealt to tasks and sorted there, and rows stream through with one state held, so a key with many rows costs time
+    but no memory.  Rows without a time come last, and no time passes before them.
+    """
+    schema = StructType([*df.schema.fields, StructField(made, DataType.fromDDL(type))])
+    kept = to_arrow_type(DataType.fromDDL(type))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, last = object(), start, None
+        for batch in batches:
+            out = []
+            times = batch.column(1).cast(pa.int64()).to_pylist()
+            for k, t, *others in zip(batch.column(0).to_pylist(), times, *(c.to_pylist() for c in batch.columns[2:])):
+                if k != now:
+                    now, state, last = k, start, t
+                state, value = step(state, 0.0 if t is None or last is None else (t - last) / 1e6, *others)
+                last = last if t is None else t
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kept)], names=[*batch.schema.names, made])
+
+    own = df.repartition(F.col(key)).sortWithinPartitions(F.col(key), F.col(time).asc_nulls_last(), *df.columns[2:])
+    return own.mapInArrow(run, schema)
+
+
 def breaker(df: DataFrame, key: str, time: str, failed: str, failures: int = 5, timeout_s: float = 60.0, successes: int = 3) -> DataFrame:
     """Adds state after each request of its key: closed opens at `failures` in a row; open is half open once timeout_s has
-    passed; half open closes after `successes` and opens at a failure.  A fold per key, in Arrow batches."""
-    schema = df.select(key, time, failed).schema.add("state", "string")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, bad, good, since, out = "closed", 0, 0, None, []
-        rows = rows.sort_values([time, failed], kind="stable")
-        for t, f in zip(rows[time], rows[failed]):
-            if state == "open" and (t - since).total_seconds() >= timeout_s:
-                state, good = "half_open", 0
-            if state == "closed":
-                bad = bad + 1 if f else 0
-                if bad >= failures:
-                    state, since = "open", t
-            elif state == "half_open":
-                good = good + 1
-                if f:
-                    state, since = "open", t
-                elif good >= successes:
-                    state, bad = "closed", 0
-            out.append(state)
-        return rows.assign(state=out)
-
-    return df.select(key, time, failed).groupBy(key).applyInPandas(fold, schema)
+    passed; half open closes after `successes` and opens at a failure.  A missing failed counts as none."""
+
+    def step(now: tuple, passed: float, f: bool | None) -> tuple[tuple, str]:
+        state, n, age = now  # n: failures in a row, or requests while half open; age: seconds that it has been open
+        age += passed
+        if state == "open" and age >= timeout_s:
+            state, n = "half_open", 0
+        if state == "closed":
+            n = n + 1 if f else 0
+            state, age = ("open", 0.0) if n >= failures else (state, age)
+        elif state == "half_open":
+            n += 1
+            state, n, age = ("open", 0, 0.0) if f else ("closed", 0, age) if n >= successes else (state, n, age)
+        return (state, n, age), state
+
+    return fold(df.select(key, time, failed), key, time, ("closed", 0, 0.0), step, "state", "string")
 
 
 def token_bucket(df: DataFrame, key: str, time: str, rate: float, burst: float) -> DataFrame:
     """Adds allowed: each request takes a token of its key's bucket, refilled at `rate` a second up to `burst`."""
-    schema = df.select(key, time).schema.add("allowed", "boolean")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, out = burst, None, []
-        rows = rows.sort_values(time, kind="stable")
-        for t in rows[time]:
-            tokens = min(burst, tokens + rate * ((t - last).total_seconds() if last is not None else 0.0))
-            last = t
-            out.append(tokens >= 1)
-            tokens -= tokens >= 1
-        return rows.assign(allowed=out)
-
-    return df.select(key, time).groupBy(key).applyInPandas(fold, schema)
+
+    def step(now: tuple, passed: float) -> tuple[tuple, bool]:
+        tokens = min(burst, now[0] + rate * passed)
+        return (tokens - (tokens >= 1),), tokens >= 1
+
+    return fold(df.select(key, time), key, time, (burst,), step, "allowed", "boolean")
 
 
 def healthy(df: DataFrame, now: Column, max_age_s: int = 120) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators import routing
+from vectorloom.operators.quantiles import quantiles
 from vectorloom.plans.registry import query, table
 from vectorloom.streaming import metrics
 
@@ -43,9 +44,11 @@ def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latency_summary", LOG[:-2] + " SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(1000 / avg(value), 6) AS per_second FROM l GROUP BY 1")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    own = log(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), q.alias("q"))
-    return own.select("event_type", "n", r(F.col("mean"), "mean"), r(F.col("q")[0], "median"), r(F.col("q")[1], "p95"), r(F.col("q")[2], "p99"), r(1000 / F.col("mean"), "per_second"))
+    rows = log(spark, sf_dir)
+    own = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    q = quantiles(rows, ["event_type"], "value", {"median": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed("event_type", "e")
+    own = own.join(q, F.col("event_type").eqNullSafe(F.col("e")))
+    return own.select("event_type", "n", r(F.col("mean"), "mean"), r(F.col("median"), "median"), r(F.col("p95"), "p95"), r(F.col("p99"), "p99"), r(1000 / F.col("mean"), "per_second"))
 
 
 @query("histogram", "WITH x AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(20, 1 + floor((value - lo) / (hi - lo) * 20))::INT AS bin, count(*) AS n FROM events, x GROUP BY 1")
@@ -88,7 +91,10 @@ def query_type_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real percentiles and rates."""
     span = F.max("ts").cast("double") - F.min("ts").cast("double")
-    return log(spark, sf_dir).agg(F.count("*").alias("requests"), r(F.avg("value"), "latency"), r(F.percentile("value", 0.95), "p95"), r(F.percentile("value", 0.99), "p99"), r(F.count_if("failed") / F.count("*"), "error_rate"), F.round(F.count("*") / F.greatest(F.lit(1.0), span), 4).alias("per_second"))
+    rows = log(spark, sf_dir)
+    own = rows.agg(F.count("*").alias("requests"), r(F.avg("value"), "latency"), r(F.count_if("failed") / F.count("*"), "error_rate"), F.round(F.count("*") / F.greatest(F.lit(1.0), span), 4).alias("per_second"))
+    q = quantiles(rows, [], "value", {"p95": 0.95, "p99": 0.99})
+    return own.join(q, how="cross").select("requests", "latency", r(F.col("p95"), "p95"), r(F.col("p99"), "p99"), "error_rate", "per_second")
 
 
 @query("node_rollup", LOG[:-2] + " SELECT node, event_type, count(*) AS n, round(sum(value), 4) AS total FROM l GROUP BY ALL")
@@ -275,12 +281,25 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.dropDuplicates(["alert_id"])
 
 
-@query("breaker_fsm")
+BREAKER = """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error') AS k FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'closed' AS state, 0 AS bad, 0 AS good, 0::BIGINT AS since FROM events
+UNION ALL SELECT user_id, k, state, CASE WHEN was = 'closed' AND failed THEN bad + 1 ELSE 0 END, CASE WHEN state = 'half_open' THEN good + 1 ELSE 0 END, CASE WHEN state = 'open' AND was <> 'open' THEN t ELSE since END FROM (
+SELECT *, CASE was WHEN 'closed' THEN CASE WHEN failed AND bad >= 1 THEN 'open' ELSE 'closed' END WHEN 'open' THEN 'open' ELSE CASE WHEN failed THEN 'open' WHEN good >= 1 THEN 'closed' ELSE 'half_open' END END AS state FROM (
+SELECT o.user_id, o.k, o.t, o.failed, s.bad, s.good, s.since, CASE WHEN s.state = 'open' AND o.t - s.since >= 3600000000 THEN 'half_open' ELSE s.state END AS was FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)))
+SELECT state, count(*) AS n FROM s WHERE k > 0 GROUP BY 1"""
+BUCKET = """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+s AS (SELECT user_id, 1::BIGINT AS k, t, 2.0::DOUBLE AS tokens, true AS allowed FROM o WHERE k = 1
+UNION ALL SELECT user_id, k, t, tokens - (tokens >= 1)::INT, tokens >= 1 FROM (
+SELECT o.user_id, o.k, o.t, least(3.0::DOUBLE, s.tokens + 1::DOUBLE / 7200 * ((o.t - s.t) / 1e6)) AS tokens FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1))
+SELECT allowed, count(*) AS n FROM s GROUP BY 1"""
+
+
+@query("breaker_fsm", BREAKER)
 def breaker_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.breaker(log(spark, sf_dir), "user_id", "ts", "failed", failures=2, timeout_s=3600, successes=2).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("token_bucket")
+@query("token_bucket", BUCKET)
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.token_bucket(log(spark, sf_dir), "user_id", "ts", rate=1 / 7200, burst=3.0).groupBy("allowed").agg(F.count("*").alias("n"))
 

@@ -24,22 +24,28 @@ def closing(events: DataFrame, after: str = "1 day") -> DataFrame:
     return last.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
 
 
-def token_bucket(events: DataFrame, rate: float, burst: float) -> DataFrame:
-    """Adds allowed to (user_id, ts): stateful over micro-batches, a bucket per user; a stream only."""
+def token_bucket(events: DataFrame, rate: float, burst: float, delay: str = "10 minutes") -> DataFrame:
+    """Adds allowed to (user_id, ts): stateful over micro-batches, a bucket per user; a stream only.  Rows later than delay are
+    dropped.  A bucket that must be full again by the watermark is forgotten, as a new one is full too, so state is kept for
+    users of the last burst / rate seconds alone."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (burst, None)
         for rows in frames:
             rows, out = rows.sort_values("ts", kind="stable"), []
             for t in rows["ts"]:
                 now = t.timestamp()
                 tokens = min(burst, tokens + rate * max(0.0, now - last) if last is not None else burst)
-                last = now
+                last = now if last is None else max(now, last)
                 out.append(tokens >= 1)
                 tokens -= tokens >= 1
             yield rows[["user_id", "ts"]].assign(allowed=out)
         state.update((float(tokens), float(last)))
+        state.setTimeoutTimestamp(max(int((last + burst / rate) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
-    own = events.select("user_id", "ts")
-    return own.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    own = events.select("user_id", "ts").withWatermark("ts", delay)
+    return own.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
