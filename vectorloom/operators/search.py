@@ -7,6 +7,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,22 @@ def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return -np.sqrt(np.maximum(qn[:, None] ** 2 + xn[None, :] ** 2 - 2 * product, 0))
 
 
+def _best(score: np.ndarray, keys: np.ndarray, found: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of score with keys, both (n, k), and of found (n, m) with the keys own (m), in order, ties by key.  Only rows
+    with a tie at the k-th place are sorted whole."""
+    k = score.shape[1]
+    both = np.concatenate([score, found], 1)
+    name = lambda r, c: np.where(c < k, keys[r, np.minimum(c, k - 1)], own[np.maximum(c - k, 0)])
+    at = np.argpartition(both, both.shape[1] - k, axis=1)[:, -k:]
+    tied = np.flatnonzero((both >= np.take_along_axis(both, at, 1).min(1, keepdims=True)).sum(1) > k)
+    if len(tied):
+        every = np.broadcast_to(np.arange(both.shape[1]), (len(tied), both.shape[1]))
+        at[tied] = np.lexsort((name(tied[:, None], every), -both[tied]), axis=1)[:, :k]
+    best, names = np.take_along_axis(both, at, 1), name(np.arange(len(both))[:, None], at)
+    order = np.lexsort((names, -best), axis=1)
+    return np.take_along_axis(best, order, 1), np.take_along_axis(names, order, 1)
+
+
 def knn_join(queries: DataFrame, df: DataFrame, k: int = 10, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """For each row of queries(query_id, q) the k rows of df of the highest score, as (query_id, rank, key, score).
 
@@ -69,9 +86,10 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int = 10, metric: str = "cosi
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(several)) == b) if several > 1 else queries
         rows = own.select("query_id", V.vec("q").alias("q")).toArrow()
         ids = rows.column("query_id").to_numpy()
-        q = np.array(rows.column("q").to_pylist(), float).reshape(len(ids), -1)
+        held = df.sparkSession.sparkContext.broadcast((ids, np.array(rows.column("q").to_pylist(), float)))
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            ids, q = held.value
             if not len(ids):
                 return
             best_score, best_id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -80,10 +98,9 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int = 10, metric: str = "cosi
                     part = batch.slice(at, 1024)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
                     # a product's last bits depend on the shapes of its blocks, which mustn't decide between ties
-                    found = np.concatenate([best_score, np.round(_scores(metric, q, x), 12)], 1)
-                    keys = np.concatenate([best_id, np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))], 1)
-                    order = np.lexsort((keys, -found), axis=1)[:, :k]
-                    best_score, best_id = np.take_along_axis(found, order, 1), np.take_along_axis(keys, order, 1)
+                    found = np.round(_scores(metric, q, x), 12)
+                    found[np.isnan(found)] = -np.inf
+                    best_score, best_id = _best(best_score, best_id, found, part.column(0).to_numpy())
             there = np.isfinite(best_score)
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], there.shape)[there]), pa.array(best_id[there]), pa.array(best_score[there])], names=["query_id", key, "score"])
 
@@ -94,13 +111,26 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int = 10, metric: str = "cosi
 
 
 def range_join(queries: DataFrame, df: DataFrame, radius: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Pairs (query_id, key, distance) within radius: pruned by norm, since norms of near vectors differ by no more.
+    """Pairs (query_id, key, distance) within radius: pruned by norm and by the places along two unit directions at right
+    angles (all components alike, and with signs in turn), since none of the three differs by more between near vectors.
 
-    Rows are keyed by floor(norm / radius); a query meets its own cell and the two beside it, so the join is an equi-join.
+    Rows are keyed by the three as multiples of the radius; a query meets its own cell and those beside it, 27 in all, so the
+    join is an equi-join, rows aren't copied, and vectors of one length are told apart by the directions.  A cell that holds
+    many rows is split by the engine's handling of skewed joins.
     """
-    cell = lambda v: F.floor(V.norm(F.col(v)) / radius)
-    near = queries.withColumn("cell", F.explode(F.sequence(cell("q") - 1, cell("q") + 1)))
-    pairs = near.join(df.withColumn("cell", cell(vector)), "cell").withColumn("distance", V.euclidean(F.col("q"), F.col(vector)))
+    width = radius * (1 + 1e-6) + 1e-12  # a little wider, for rounding
+
+    def cells(v: str) -> list[Column]:
+        own = V.vec(v)
+        total = lambda turn: F.aggregate(F.transform(own, lambda x, i: F.when(turn & (i % 2 == 1), -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x)
+        along = [total(F.lit(turn)) / F.sqrt(F.greatest(F.size(own), F.lit(1))) for turn in (False, True)]
+        return [F.floor(x / width) for x in (V.norm(F.col(v)), *along)]
+
+    names = ["__c0", "__c1", "__c2"]
+    near, far = queries, df
+    for name, asked, held in zip(names, cells("q"), cells(vector)):
+        near, far = near.withColumn(name, F.explode(F.sequence(asked - 1, asked + 1))), far.withColumn(name, held)
+    pairs = near.join(far, names).withColumn("distance", V.euclidean(F.col("q"), F.col(vector)))
     return pairs.where(F.col("distance") <= radius).select("query_id", key, "distance")
 
 
