@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vectorloom.functions import vectors as V
 from vectorloom.operators import angular, ann, compress, routing, search
 from vectorloom.operators.filters import apply_filter
+from vectorloom.operators.quantiles import quantiles
 from vectorloom.operators.ranking import global_rank, with_previous
 from vectorloom.sources import generators
 from vectorloom.sources.store import VectorTable
@@ -43,6 +44,48 @@ def test_knn_join_in_blocks(rows):
     assert search.recall_at_k(many, one).where("recall < 1 or precision < 1").count() == 0
 
 
+def test_knn_join_ties(spark):
+    same = [(i, [1.0, 0.0] if i % 3 else [0.6, 0.8]) for i in range(40)] + [(40, None), (41, [0.0, 0.0])]
+    rows = spark.createDataFrame(same, "vec_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "query_id bigint, q array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in search.knn_join(q, rows, 4).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (0, 3): 4, (0, 4): 5, (1, 1): 0, (1, 2): 3, (1, 3): 6, (1, 4): 9}
+    assert search.knn_join(q, rows, 50).count() == 2 * 41 and search.knn_join(q.limit(0), rows, 4).count() == 0
+
+
+def test_range_join(spark):
+    unit = X / np.linalg.norm(X, axis=1, keepdims=True)
+    unit = np.concatenate([unit, unit[:20], unit[:20] + 0.01, 3 * unit[:5]])
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit)], "vec_id bigint, embedding array<double>")
+    q = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    apart = np.linalg.norm(unit[:, None] - unit[None], axis=2)
+    for radius in (0.0, 0.05, 0.9, 1.3):
+        got = sorted((r.query_id, r.vec_id) for r in search.range_join(q, e, radius).collect())
+        assert got == [(a, b) for a in range(0, len(unit), 3) for b in range(len(unit)) if apart[a, b] <= radius]
+
+
+def test_quantiles(spark):
+    data = [(k, float(v)) for k in (None, "a", "b") for v in rng.integers(0, 30, 101)] + [("one", 7.0), ("none", None), ("a", None)]
+    rows = spark.createDataFrame(data, "k string, v double").repartition(5)
+    of = {"low": 0.0, "tenth": 0.1, "median": 0.5, "p95": 0.95, "high": 1.0}
+    for r in quantiles(rows, ["k"], "v", of).collect():
+        own = [v for k, v in data if k == r.k and v is not None]
+        assert [r[n] for n in of] == (pytest.approx(np.quantile(own, list(of.values()))) if own else [None] * 5)
+    assert quantiles(rows, ["k"], "v", of).count() == 5
+    every = np.quantile([v for _, v in data if v is not None], list(of.values()))
+    assert list(quantiles(rows, [], "v", of).first()) == pytest.approx(every)
+    assert list(quantiles(rows.limit(0), [], "v", of).first()) == [None] * 5
+
+
+def test_folds_of_odd_rows(spark):
+    data = [("a", 0, True), ("a", 1, True), ("a", None, None), (None, 5, True), ("b", 9, None), ("b", 9, True), (None, 6, False), ("a", 100, False)]
+    rows = spark.createDataFrame(data, "k string, s int, f boolean").withColumn("t", F.timestamp_seconds("s"))
+    got = {(r.k, r.t and r.t.timestamp(), r.f): r.state for r in routing.breaker(rows, "k", "t", "f", failures=2, timeout_s=60, successes=2).collect()}
+    assert got == {("a", 0, True): "closed", ("a", 1, True): "open", ("a", 100, False): "half_open", ("a", None, None): "closed", (None, 5, True): "closed", (None, 6, False): "closed", ("b", 9, None): "closed", ("b", 9, True): "closed"}
+    assert routing.breaker(rows.limit(0), "k", "t", "f").count() == 0
+    assert routing.token_bucket(rows, "k", "t", rate=1.0, burst=1.0).where("allowed").count() == 6
+
+
 def test_filters(rows):
     keep = lambda f: set(ids(apply_filter(rows, f)))
     assert keep({"category": "cat_2"}) == {i for i in range(200) if i % 5 == 2}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions import vectors as V
+from vectorloom.operators.quantiles import quantiles
 
 
 def with_size(df: DataFrame) -> DataFrame:
@@ -115,11 +116,12 @@ def reconstruction(df: DataFrame, a: str, b: str) -> DataFrame:
     x, y = F.col(a), F.col(b)
     n = F.size(x)
     rows = df.select(V.cosine(x, y).alias("cos"), (V.squared_distance(x, y) / n).alias("mse"), (V.manhattan(x, y) / n).alias("mae"), (V.euclidean(x, y) / V.norm(x)).alias("rel"), (V.norm(y) / V.norm(x)).alias("mag"))
-    return rows.agg(
-        F.avg("cos").alias("cosine_mean"), F.stddev_pop("cos").alias("cosine_std"), F.min("cos").alias("cosine_min"), F.percentile("cos", 0.1).alias("cosine_p10"),
+    own = rows.agg(
+        F.avg("cos").alias("cosine_mean"), F.stddev_pop("cos").alias("cosine_std"), F.min("cos").alias("cosine_min"),
         F.avg("mse").alias("mse"), F.avg("mae").alias("mae"), F.avg("rel").alias("relative_error"), F.avg("mag").alias("magnitude"),
         (0.8 * F.avg("cos") + 0.2 * (1 - F.avg("mae"))).alias("quality_score"), (F.avg("cos") * (1 - F.avg("rel"))).alias("composite_score"),
     )
+    return own.join(quantiles(rows, [], "cos", {"cosine_p10": 0.1}), how="cross")
 
 
 def moments(df: DataFrame, vector: str = "embedding") -> DataFrame:
