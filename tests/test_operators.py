@@ -252,3 +252,36 @@ def test_rewrite_that_ends_early(spark, tmp_path):
     own.delete(rows.where("vec_id = 3"))
     own.insert(rows.where("vec_id = 20"))
     assert set(ids(own.read())) == live - {3} | {20}
+
+
+def test_rebuild_for_another_reference(spark, tmp_path):
+    path = f"file://{tmp_path}/r"
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "vec_id bigint, embedding array<double>")
+    own = VectorTable(spark, path, 16, X[0].tolist())
+    own.save()
+    own.insert(rows)
+    own.delete(rows.where("vec_id < 5"))
+    own.rebuild(X[1].tolist())
+    back = VectorTable.load(spark, path)
+    assert back.version() == 2 and back.reference == own.reference == X[1].tolist()
+    got = {r.vec_id: (r.theta, r.region_id) for r in back.read(system=True).collect()}
+    other = VectorTable(spark, f"file://{tmp_path}/other", 16, X[1].tolist())
+    other.insert(rows.where("vec_id >= 5"))
+    assert got == {r.vec_id: (r.theta, r.region_id) for r in other.read(system=True).collect()}
+    own.rebuild()
+    assert own.version() == 3 and own.read().count() == 195 and VectorTable.load(spark, path).reference == X[1].tolist()
+
+
+def test_strategies_and_shard_maps(spark):
+    nodes, keys = [f"n{k}" for k in range(5)], spark.range(2000).withColumn("key", F.col("id").cast("string"))
+    for strategy in ("consistent", "hash", "range"):
+        placed = routing.assign(keys, strategy, nodes, F.col("key"))
+        own = {r.node: r["count"] for r in placed.groupBy("node").count().collect()}
+        assert set(own) == set(nodes) and sum(own.values()) == 2000
+        if strategy != "consistent":
+            assert min(own.values()) > 300
+    with pytest.raises(ValueError):
+        routing.assign(keys, "nearest", nodes, F.col("key"))
+    data = [("a", "n0", 5), ("a", "n1", 6), ("a", "n1", None), ("b", "n0", 10)]
+    got = routing.shard_map(spark.createDataFrame(data, "shard string, node string, bytes bigint"), 10)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "n0", 1, 5, True), ("a", "n1", 2, 6, True), ("b", "n0", 1, 10, False)]

@@ -67,6 +67,26 @@ def by_range(bounds: list[int], key: Column) -> Column:
     return F.when(index < len(bounds), index)
 
 
+def assign(df: DataFrame, strategy: str, nodes: list[str], key: Column, into: str = "node", virtual: int = 64) -> DataFrame:
+    """Adds the node of each key: "consistent" by a ring, of which angular placement is a case, "hash" by the position modulo
+    the number of nodes, "range" by as many equal ranges of positions."""
+    if strategy == "consistent":
+        return lookup(df, ring(df.sparkSession, nodes, virtual), key, into)
+    if strategy == "hash":
+        return df.withColumn(into, hashed(nodes, key))
+    if strategy == "range":
+        bounds = [((k + 1) << 60) // len(nodes) for k in range(len(nodes))]
+        return df.withColumn(into, F.element_at(F.array(*map(F.lit, sorted(nodes))), by_range(bounds, key) + 1))
+    raise ValueError(f"unknown strategy {strategy!r}")
+
+
+def shard_map(placed: DataFrame, most_bytes: int, shard: str = "shard", node: str = "node", size: str = "bytes") -> DataFrame:
+    """placed(shard, node, bytes), a row for each stored row, to (shard, node, n, bytes, split): what each node holds of each
+    shard, and whether the shard, on all its nodes, has outgrown most_bytes and is to be split."""
+    own = placed.groupBy(shard, node).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias(size))
+    return own.withColumn("split", F.sum(size).over(Window.partitionBy(shard)) > most_bytes)
+
+
 def weighted(df: DataFrame, weights: DataFrame, key: Column, into: str = "node") -> DataFrame:
     """weights(node, weight) as one row: each key goes to the node in whose share of the weights its position falls."""
     one = weights.agg(F.array_sort(F.collect_list(F.struct("node", "weight"))).alias("w"))

@@ -1,6 +1,6 @@
 """Sequences stored encoded: anchors as they are, other vectors as codes of their difference to the nearest anchor.
 
-Layout under one path: encoded/ (append-only; anchor is null but for anchors, codes, a list for each level, null for anchors),
+Layout under one path: encoded/ (append-only, in order of sequence; anchor is null but for anchors, codes, a list for each level, null for anchors),
 codebook/ (level, subspace, code, centroid) and meta/.  Level k codes the difference at half the scale of the level before.
 Reads decode where the rows are: a join with the anchors of the sequence and a broadcast of one level of the codebook, which
 has m * 2**bits rows.
@@ -61,10 +61,12 @@ class EncodedTable:
             coded = compress.pq_encode(coded, self.codebook(k), self.key, "part").withColumnRenamed("codes", f"codes{k}").drop("part")
         coded = coded.withColumn("codes", F.array(*(F.transform(f"codes{k}", lambda c: c.cast("int")) for k in range(n))))
         coded = coded.withColumns({"anchor": F.lit(None).cast(rows.schema[self.vector].dataType), "anchor_pos": F.col("anchor_pos").cast("long")})
-        anchors.unionByName(coded.select(anchors.columns)).write.mode("append").partitionBy("seq_id").parquet(f"{self.path}/encoded")
+        both = anchors.unionByName(coded.select(anchors.columns))
+        both.repartitionByRange("seq_id", "pos").sortWithinPartitions("seq_id", "pos").write.mode("append").parquet(f"{self.path}/encoded")
 
     def stored(self) -> DataFrame:
-        """Rows as stored; a read of one sequence reads its folder only."""
+        """Rows as stored.  Files and their row groups hold ranges of seq_id, so a read of one sequence skips the others by their
+        statistics, and the number of files follows the bytes, not the sequences."""
         return self.spark.read.parquet(f"{self.path}/encoded")
 
     def read(self, level: int = 0, sequence: int | None = None) -> DataFrame:

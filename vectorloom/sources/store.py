@@ -1,8 +1,8 @@
 """A table of vectors as Parquet: append, delete, update, compact, statistics, save and load.
 
 Layout under one path: data-N/ (append-only, in order of theta), tombstones-N/ (ids deleted, with the batch from which on an
-id is live again) and meta/ (dimensions and reference vector).  Reads join tombstones away; optimize() writes version N + 1
-without them.  The version is the greatest N whose data folder has Spark's mark of success, so a rewrite counts once it is
+id is live again) and meta-N/ (dimensions and reference vector).  Reads join tombstones away; optimize() writes version N + 1
+without them, rebuild() one for another reference.  The version is the greatest N whose data folder has Spark's mark of success, so a rewrite counts once it is
 whole, and one that ends early changes nothing.
 """
 
@@ -18,6 +18,17 @@ from vectorloom.functions import vectors as V
 from vectorloom.operators import angular, search
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    files, at = _files(spark, path)
+    found = files.globStatus(at(f"{path}/data-*/_SUCCESS")) or []
+    return max((int(x.getPath().getParent().getName().split("-")[1]) for x in found), default=1)
+
+
 class VectorTable:
     def __init__(self, spark: SparkSession, path: str, dimensions: int, reference: list[float], key: str = "vec_id", vector: str = "embedding"):
         self.spark, self.path, self.dimensions, self.reference, self.key, self.vector = spark, path.rstrip("/"), dimensions, [float(x) for x in reference], key, vector
@@ -26,27 +37,22 @@ class VectorTable:
 
     # ---- state
 
-    def save(self) -> None:
+    def save(self, version: int | None = None) -> None:
         meta = {"dimensions": self.dimensions, "reference": self.reference, "key": self.key, "vector": self.vector}
-        self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta")
+        self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta-{version or self.version()}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorTable:
-        meta = json.loads(spark.read.text(f"{path.rstrip('/')}/meta").first()[0])
+        path = path.rstrip("/")
+        meta = json.loads(spark.read.text(f"{path}/meta-{_version(spark, path)}").first()[0])
         return cls(spark, path, meta["dimensions"], meta["reference"], meta["key"], meta["vector"])
 
-    def _files(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
     def _exists(self, name: str) -> bool:
-        files, at = self._files()
+        files, at = _files(self.spark, self.path)
         return files.exists(at(f"{self.path}/{name}"))
 
     def version(self) -> int:
-        files, at = self._files()
-        found = files.globStatus(at(f"{self.path}/data-*/_SUCCESS")) or []
-        return max((int(x.getPath().getParent().getName().split("-")[1]) for x in found), default=1)
+        return _version(self.spark, self.path)
 
     def _batch(self) -> int:
         data = f"data-{self.version()}"
@@ -54,10 +60,13 @@ class VectorTable:
 
     # ---- writing
 
+    def _derived(self, rows: DataFrame) -> DataFrame:
+        return angular.transform(rows, self.reference, self.vector).withColumn("region_id", angular.region(F.col("theta")))
+
     def insert(self, rows: DataFrame) -> None:
         """Append rows: key, vector and metadata columns.  Vectors of another size are an error; a row keeps its metadata."""
         rows = rows.withColumn(self.vector, V.checked(F.col(self.vector), self.dimensions))
-        rows = angular.transform(rows, self.reference, self.vector).withColumn("region_id", angular.region(F.col("theta"))).withColumn("batch", F.lit(self._batch()).cast("long"))
+        rows = self._derived(rows).withColumn("batch", F.lit(self._batch()).cast("long"))
         rows.repartitionByRange("theta", self.key).sortWithinPartitions("theta", self.key).write.mode("append").parquet(f"{self.path}/data-{self.version()}")
 
     def delete(self, ids: DataFrame) -> int:
@@ -72,16 +81,27 @@ class VectorTable:
         self.delete(rows.select(self.key))
         self.insert(rows)
 
-    def optimize(self) -> None:
-        """Rewrite without deleted rows, in order, as the next version; then drop the one before."""
-        files, at = self._files()
+    def _rewrite(self, live: DataFrame) -> None:
+        files, at = _files(self.spark, self.path)
         old = self.version()
         files.delete(at(f"{self.path}/data-{old + 1}"), True)  # of a rewrite that did not end
-        live = self.read(system=True).withColumn("batch", F.lit(1).cast("long"))
+        self.save(old + 1)
+        live = live.withColumn("batch", F.lit(1).cast("long"))
         live.repartitionByRange("theta", self.key).sortWithinPartitions("theta", self.key).write.parquet(f"{self.path}/data-{old + 1}")
-        for name in ("data", "tombstones"):
+        for name in ("data", "tombstones", "meta"):
             files.delete(at(f"{self.path}/{name}-{old}"), True)
 
+    def optimize(self) -> None:
+        """Rewrite without deleted rows, in order, as the next version; then drop the one before."""
+        self._rewrite(self.read(system=True))
+
+    def rebuild(self, reference: list[float] | None = None) -> None:
+        """optimize(), with the derived columns computed anew, from another reference if one is given."""
+        live = self.read()
+        new = VectorTable(self.spark, self.path, self.dimensions, reference or self.reference, self.key, self.vector)
+        new._rewrite(new._derived(live))
+        self.reference = new.reference
+
     def backup(self, path: str) -> None:
         self.read(system=True).write.parquet(f"{path.rstrip('/')}/data-1")
         VectorTable(self.spark, path, self.dimensions, self.reference, self.key, self.vector).save()
