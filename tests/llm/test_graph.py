@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from vectorloom.llm import graph
 from vectorloom.llm.graph import components
 
 
@@ -34,6 +35,21 @@ def test_like_union_find(spark, kind):
     assert {r.node: r.root for r in got} == brute(edges)
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_small_and_large(spark, monkeypatch, small):
+    """Few edges are solved in one task, without the shuffles of the rounds, and like many."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    rng = random.Random(4)
+    edges = [(b"%d" % rng.randrange(900), b"%d" % rng.randrange(900)) for _ in range(500)] + [(b"p%03d" % k, b"p%03d" % (k + 1)) for k in range(200)]
+    df = spark.createDataFrame(edges, "a binary, b binary")
+    writes = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: writes.append(df) or cut(df))
+    got = components(df).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {bytes(r.node): bytes(r.root) for r in got} == brute([(a, b) for a, b in edges if a != b])
+    assert len(writes) == 2 if small else len(writes) > 4
+
+
 def test_none(spark):
     assert components(spark.createDataFrame([(5, 5)], "a bigint, b bigint")).count() == 0
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
