@@ -213,6 +213,33 @@ def test_recall(spark, name):
     assert got.n == 100 and got.recall >= 0.9
 
 
+def test_lsh_join(spark, monkeypatch):
+    """Like all pairs that share a table, scored one by one, with blocks and parts of any size; no row for a pair."""
+    own = np.concatenate([X, X[:30], X[:30] * 3, np.zeros((2, 16))]).astype(np.float32)
+    own[262 - 1] = own[4] - own[4]
+    data = [(i, x.tolist()) for i, x in enumerate(own)] + [(None, X[3].tolist()), (900, None), (901, [1.0] * 4), (902, [None] + [1.0] * 15)]
+    e = spark.createDataFrame(data, "vec_id bigint, embedding array<float>").repartition(3)
+    planes = e.where("vec_id < 6").select(F.col("vec_id").alias("h"), F.col("embedding").alias("plane"))
+    asked = e.where("vec_id % 7 = 0 or vec_id > 250").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    codes = (own.astype(float) @ own[:6].astype(float).T > 0).reshape(len(own), 2, 3)
+    unit = own.astype(float) / np.maximum(np.linalg.norm(own.astype(float), axis=1, keepdims=True), 1e-300)
+    want = {}
+    for q in [i for i in range(len(own)) if i % 7 == 0 or i > 250]:
+        shared = np.flatnonzero((codes == codes[q]).all(2).any(1))
+        best = sorted((-round(float(unit[q] @ unit[i]), 9), int(i)) for i in shared)[:5]
+        want[q] = [(i, -s) for s, i in best]
+    for block, tile, pairs in [(1000, 2048, 65536), (9, 4, 50)]:
+        monkeypatch.setattr(ann, "TILE", tile)
+        monkeypatch.setattr(ann, "PAIRS", pairs)
+        found = ann.lsh_join(asked, e, planes, 2, 5, block=block)
+        assert "Join" not in found._jdf.queryExecution().toString()
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+        assert got == want
+    assert ann.lsh_join(asked, e, planes.where("h > 90"), 2).count() == 0
+
+
 def test_encoded_table(spark, tmp_path):
     """Trained on differences, stored, loaded and decoded at every level."""
     from vectorloom.sources.encoded import EncodedTable

@@ -422,9 +422,8 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that share one of eight tables of two planes, scored exactly."""
     e = table(spark, sf_dir, "embeddings")
-    both = candidates(spark, sf_dir, 8, 1).join(queries_of(e), "query_id").join(e.select("vec_id", "embedding"), "vec_id")
-    found = both.select("query_id", "vec_id", V.cosine(F.col("q"), E()).alias("score"))
-    return search.top_per_group(found, "query_id", F.col("score"), 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    found = ann.lsh_join(queries_of(e), e, planes(spark, sf_dir), 8, 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("knn_graph", "WITH o AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM o a, o b WHERE a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) <= 4) SELECT a, b FROM n UNION SELECT b, a FROM n")
